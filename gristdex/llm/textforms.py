@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 import zlib
 
@@ -14,23 +15,29 @@ LOOKALIKES = str.maketrans("аевгдзікмнорстухјѕԁһɡαεικν
 # Digits and signs that stand for letters.
 STAND_INS = str.maketrans("013457@$!+|", "oieastasiti")
 
-_TAGS = regex.compile(r"\[/?\p{L}{1,6}(?:=[^\]\n]{0,80})?\]|</?\p{L}{1,12}[^<>\n]{0,80}>", regex.I)
+_TAGS = re.compile(r"\[/?[a-z]{1,6}(?:=[^\]\n]{0,80})?\]|</?[a-z]{1,12}[^<>\n]{0,80}>", re.I)
 _INVISIBLE = regex.compile(r"\p{Cf}+")
-_MARKS = regex.compile(r"[̀-ͯ]+")
-_SPELLED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?:([-_.*~·])[\p{L}\p{N}])(?:\1[\p{L}\p{N}]){2,}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\p{L}(?: \p{L}){3,}(?![\p{L}\p{N}])")
-_JOINERS = regex.compile(r"[-_.*~· ]")
-_SENTENCE = regex.compile(r"(?<=[.!?…])[\s»”\"]+|(?<=[。！？])|[\n\r\x0b\x0c\x85  ]+")
-_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|[\p{L}\p{N}](?:[\p{L}\p{N}*@$!#+|']*[\p{L}\p{N}*@$+])?")
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_REPEAT = regex.compile(r"(.)\1+")
-_LATIN, _ALIEN = regex.compile(r"[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_MARKS = re.compile("[̀-ͯ]+")
+_SPELLED = re.compile(r"\b[^\W_]([-_.*~·])[^\W_](?:\1[^\W_]){2,}(?!\w)|\b[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
+_JOINERS = re.compile(r"[-_.*~· ]")
+_SENTENCE = re.compile("[.!?…]+[\\s»”\"]+|[。！？]+|[\n\r\x0b\x0c\x85  ]+")
+_WORD = re.compile(r"[^\W_](?:[\w*@$!#+|']*[\w*@$+])?")
+# Scripts written without blanks.
+_CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]+")
+_REPEAT = re.compile(r"(.)\1+")
+_LATIN, _ALIEN = re.compile("[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 
 
 def plain(text: str) -> str:
     """Lower case without markup, invisible characters, accents and letters spelled one by one."""
-    text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", _TAGS.sub("", html.unescape(text))))
-    text = unicodedata.normalize("NFKC", _MARKS.sub("", text)).lower()
-    return _SPELLED.sub(lambda m: _JOINERS.sub("", m[0]), text)
+    if "&" in text:
+        text = html.unescape(text)
+    if "[" in text or "<" in text:
+        text = _TAGS.sub("", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
+        text = _CJK.sub(r" \g<0> ", unicodedata.normalize("NFKC", _MARKS.sub("", text)))
+    return _SPELLED.sub(lambda m: _JOINERS.sub("", m[0]), text.lower())
 
 
 def sentences(text: str) -> list[str]:
@@ -54,6 +61,7 @@ class TermHasher:
 
     def __init__(self, bits: int = 18, remember: int = 100_000):
         self.size, self.remember, self.words = 1 << bits, remember, {}
+        self.start = self._slot("w", "^")
 
     def _slot(self, kind: str, what: str) -> int:
         return zlib.crc32(f"{kind}{what}".encode("utf-8", "replace")) % self.size
@@ -70,8 +78,8 @@ class TermHasher:
                 own, slots = self._slot("w", w), [self._slot("w", w)]
                 if len(w) > 5:
                     slots += [self._slot("p", w[:4]), self._slot("s", w[-4:])]
-                if any(c in w for c in "*@#$"):
-                    slots += [self._slot("m", part) for part in regex.split(r"[*@#$]", w) if len(part) > 1]
+                if len(w) > 3:  # the same for a word and for one with a letter in its middle masked
+                    slots.append(self._slot("k", f"{w[:2]}{w[-2:]}{len(w)}"))
                 found = (own, slots)
             if len(self.words) >= self.remember:
                 self.words.clear()
@@ -80,14 +88,14 @@ class TermHasher:
 
     def sentence(self, text: str) -> np.ndarray:
         """Distinct slots of one plain sentence."""
-        slots: list[int] = []
-        last = self._slot("w", "^")
+        slots: set[int] = set()
+        last, get, size = self.start, self.words.get, self.size
         for token in _WORD.findall(text):
-            own, more = self._terms(token)
-            slots += more
-            slots.append((last * 1000003 + own * 31 + 7) % self.size)
+            own, more = get(token) or self._terms(token)
+            slots.update(more)
+            slots.add((last * 1000003 + own * 31 + 7) % size)
             last = own
-        return np.unique(np.array(slots, np.int32))
+        return np.array(sorted(slots), np.int32)
 
     def document(self, text: str | None) -> list[np.ndarray]:
         """The slots of each sentence of a text; none for null, empty and blank texts."""

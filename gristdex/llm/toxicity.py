@@ -57,8 +57,14 @@ class FactorizationMachine:
         np.maximum.at(out, bags.doc, self.sentence_scores(bags))
         return out
 
-    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.08, decay: float = 2e-4, batch: int = 128, seed: int = 7) -> FactorizationMachine:
-        """Learns from documents with labels in [0, 1]; terms in fewer than ``least`` documents are left at 0."""
+    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.04, decay: float = 2e-4, batch: int = 128, seed: int = 7, least: int | None = None, trust: float = 0.4, pull: float = 4.0) -> FactorizationMachine:
+        """Learns from documents with labels in [0, 1].
+
+        Terms in fewer than ``least`` documents are left at 0.  Weights start at
+        shrunken log odds (``pull`` is the prior count) and move by adaptive
+        gradient steps.  After a few rounds a label counts with ``trust`` and the
+        model's own view with the rest, as some judgements are wrong.
+        """
         rng = np.random.default_rng(seed)
         has = np.unique(bags.doc)
         if not len(has) or not (y[has] > 0.5).any() or not (y[has] <= 0.5).any():
@@ -71,11 +77,11 @@ class FactorizationMachine:
         pair_doc, pair_slot = pair // size, pair % size
         in_pos = np.bincount(pair_slot, y[pair_doc], size)
         in_any = np.bincount(pair_slot, minlength=size)
-        least = 2 if len(has) < 3000 else 3
+        least = least or (2 if len(has) < 3000 else 3)
         used = in_any >= least
         n_pos, n_any = y[has].sum(), len(has)
         odds = np.log((in_pos + 0.5) / (n_pos + 1)) - np.log((in_any - in_pos + 2.0) / (n_any - n_pos + 4))
-        start = np.where(used, np.clip(odds, -1.5, 2.5) * in_any / (in_any + 4), 0)
+        start = np.where(used, np.clip(odds, -1.5, 2.5) * in_any / (in_any + pull), 0)
         self.w[:] = 0.35 * start
         self.v[~used] = 0
         self.b = np.float32(-1.5)
@@ -90,7 +96,7 @@ class FactorizationMachine:
             other = order[first + (rng.random(len(first)) * count).astype(np.int64)]
             if turn >= 4:  # labels that the rest of the data contradicts lose weight
                 p = 1 / (1 + np.exp(-score[top]))
-                target[has] = 0.7 * y[has] + 0.3 * p
+                target[has] = trust * y[has] + (1 - trust) * p
             chosen, goal = top, target[has]
             calm = (y[has] <= 0.5) & (other != top)
             chosen, goal = np.concatenate([chosen, other[calm]]), np.concatenate([goal, goal[calm]])
