@@ -61,9 +61,15 @@ class Index:
         """(table_seq, keyword, n_postings, cont): size of each list and whether any score isn't 0."""
         return self.rows().groupBy("table_seq", "keyword").agg(F.count(F.lit(1)).alias("n_postings"), F.max(F.isnan("score") | (F.col("score") != 0)).alias("cont"))
 
-    def forward(self) -> DataFrame:
-        """One summary row a document: the lowest (table_seq, key, json) where rows repeat."""
+    def forward(self, docs: DataFrame | None = None) -> DataFrame:
+        """One summary row a document: the lowest (table_seq, key, json) where rows repeat.
+
+        With ``docs``, only of those: a page of results then meets the summaries in
+        a semi-join before anything is grouped.
+        """
         s = self.summaries.where("doc IS NOT NULL").select("table_seq", "doc", "key", "json")
+        if docs is not None:
+            s = s.join(docs.select("doc"), "doc", "left_semi")
         first = s.groupBy("doc").agg(F.min(F.struct("table_seq", "key", "json")).alias("s"))
         return first.select("doc", F.col("s.key").alias("key"), F.col("s.json").alias("json"))
 

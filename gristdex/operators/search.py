@@ -65,19 +65,19 @@ def tables_with(index: Index, keyword: str) -> list[int]:
     return sorted(r[0] for r in rows)
 
 
-def override_bodies(index: Index, hits: DataFrame) -> DataFrame:
-    """(doc, extra): the override texts of each hit, up to the first override table that lacks its key."""
+def override_bodies(index: Index) -> DataFrame:
+    """(key, extra): the override texts of each key, up to the first override table that lacks it."""
     rows = index.overrides.where("key IS NOT NULL").select("table_seq", "key", "json")
     one = rows.groupBy("table_seq", "key").agg(F.min("json").alias("json")).select("table_seq", "key", body(F.col("json")).alias("body"))
     if index.override_tables is None:
         order = index.overrides.select("table_seq").distinct().select("table_seq", F.row_number().over(Window.orderBy("table_seq")).alias("nth"))
     else:
         order = index.spark.createDataFrame([(t, i + 1) for i, t in enumerate(index.override_tables)], "table_seq INT, nth INT")
-    found = hits.select("doc", "key").distinct().join(one, "key").join(F.broadcast(order), "table_seq")
-    run = F.row_number().over(Window.partitionBy("doc").orderBy("nth"))
-    unbroken = found.withColumn("run", run).where("nth = run")
     texts = F.array_sort(F.collect_list(F.struct("nth", "body")))
-    return unbroken.groupBy("doc").agg(F.array_join(F.filter(F.transform(texts, lambda x: x["body"]), lambda x: x.isNotNull()), ",").alias("extra"))
+    # Tables without gaps have their own number as their place.
+    unbroken = F.filter(texts, lambda x, i: x["nth"] == i + 1)
+    found = one.join(F.broadcast(order), "table_seq").groupBy("key").agg(unbroken.alias("texts"))
+    return found.select("key", F.array_join(F.filter(F.transform("texts", lambda x: x["body"]), lambda x: x.isNotNull()), ",").alias("extra"))
 
 
 def matches(index: Index, statement: QueryStatement, evaluator: Evaluator) -> DataFrame:
@@ -110,7 +110,7 @@ def query(index: Index, statement: QueryStatement, sizes: dict[str, int] | None
         page = page.offset(statement.offset)
     if statement.limit >= 0:
         page = page.limit(statement.limit)
-    rows = page.join(index.forward(), "doc", "left")
+    rows = page.join(index.forward(page if statement.limit >= 0 else None), "doc", "left")
     if statement.keys_only:
         return Result(found, page, rows.orderBy(*rank_order()).select("doc", "score", "key"), True)
     header = evaluator.headers[0] if evaluator.headers else None
@@ -126,7 +126,7 @@ def query(index: Index, statement: QueryStatement, sizes: dict[str, int] | None
     else:
         none = F.lit(None).cast("string")
         rows = rows.withColumn("header", none).withColumn("header_key", none)
-    rows = rows.join(override_bodies(index, rows), "doc", "left") if index.overrides is not None else rows.withColumn("extra", F.lit(None).cast("string"))
+    rows = rows.join(override_bodies(index), "key", "left") if index.overrides is not None else rows.withColumn("extra", F.lit(None).cast("string"))
     parts = F.concat_ws(
         ",",
         F.concat(F.lit('"_key":'), json_quoted(F.coalesce("key", F.lit("")))),
