@@ -164,7 +164,8 @@ def labelled_bags(documents: DataFrame, labels: DataFrame, bits: int, most: int,
     """Hashed sentences and mean judgements of at most ``most`` labelled documents, chosen by the hash of their id."""
     votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg((F.col("toxic") > 0).cast("double")).alias("y"))
     few = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(few, "doc_id")
+    # At most ``most`` rows of two numbers, so texts needn't be shuffled.
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(few), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TermHasher(bits)
