@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristdex.llm.codes import code, dictionary, name_pairs
@@ -29,16 +29,20 @@ def co_occurrences(df: DataFrame, item: str, record: str, min_count: int = 1, mi
     members = df.select(F.col(record).alias("rec"), F.col(item).cast("string").alias("name")).where("rec IS NOT NULL AND name IS NOT NULL").distinct()
     names = dictionary(members)
     n = members.select("rec").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    enough = F.greatest(F.lit(float(min_count)), F.lit(min_share) * F.col("n"))
+
+
+    def enough(count: str) -> Column:
+        return (F.col(count) >= min_count) & (F.col(count) / F.col("n") >= min_share)
+
     coded = members.select("rec", code("name").alias("c"))
     if min_count > 1 or min_share > 0:
-        frequent = names.withColumn("n", n).where(F.col("size") >= enough).select(F.col("code").alias("c"))
+        frequent = names.withColumn("n", n).where(enough("size")).select(F.col("code").alias("c"))
         coded = coded.join(frequent, "c")
     baskets = coded.groupBy("rec").agg(F.array_sort(F.collect_set("c")).alias("basket")).where(F.size("basket") > 1)
     weighted = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("weight"))
     heads = weighted.select(F.posexplode("basket").alias("i", "a"), "basket", "weight").where(F.col("i") < F.size("basket") - 1)
     pairs = heads.select("a", F.explode(F.slice("basket", F.col("i") + 2, F.size("basket"))).alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("together"))
-    scored = name_pairs(pairs, names).withColumn("n", n).where(F.col("together") >= enough)
+    scored = name_pairs(pairs, names).withColumn("n", n).where(enough("together"))
     a, b, c, whole = (F.col(x).cast("double") for x in ("size_a", "size_b", "together", "n"))
     return scored.select("keyword_a", "keyword_b", "size_a", "size_b", "n", "together", (c * whole / (a * b)).alias("lift"), F.when(c < a, (1 - b / whole) / (1 - c / a)).alias("conviction"))
 

@@ -60,5 +60,5 @@ def distinctive_terms(weights: DataFrame, local_share: float = 0.2, rare: int =
     """
     most = F.greatest(F.lit(float(rare)), F.lit(rare_share) * F.col("n_docs"))
     bound = F.when(F.col("n_docs") > 1, 1 - F.log(most) / F.log(F.col("n_docs").cast("double"))).otherwise(F.lit(0.0))
-    candidates = weights.where(F.col("tf") >= F.lit(local_share) * F.col("rec_total")).where(F.col("global_weight") >= bound - F.lit(1e-9))
-    return candidates.where((F.col("docs") <= rare) | (F.col("docs") < F.lit(rare_share) * F.col("n_docs")))
+    candidates = weights.where(F.col("tf") / F.col("rec_total") >= F.lit(local_share)).where(F.col("global_weight") >= bound - F.lit(1e-9))
+    return candidates.where((F.col("docs") <= rare) | (F.col("docs") / F.col("n_docs") < F.lit(rare_share)))

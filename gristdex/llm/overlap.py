@@ -31,4 +31,4 @@ def overlap_sizes(df: DataFrame, set_name: str, identifier: str) -> DataFrame:
 
 def contained_pairs(overlaps: DataFrame, share: float = 0.5) -> DataFrame:
     """The pairs of :func:`overlap_sizes` sharing at least ``share`` of the smaller set."""
-    return overlaps.where(F.col("shared") >= F.lit(share) * F.least("size_a", "size_b"))
+    return overlaps.where(F.col("shared") / F.least("size_a", "size_b") >= share)
