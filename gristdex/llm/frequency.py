@@ -52,5 +52,5 @@ def term_frequencies(df: DataFrame, term: str, record: str, rare: int = 2, commo
     bitmaps = term_bitmaps(df, term, record)
     found = cardinality(bitmaps)
     # A quotient equals a decimal share exactly where the counts do; a product may miss by a bit.
-    use = F.when(F.col("docs") / all_records(bitmaps).scalar() > F.lit(common), "common").when(F.col("docs") <= rare, "rare").otherwise("useful")
+    use = F.when(F.try_divide(F.col("docs"), all_records(bitmaps).scalar()) > F.lit(common), "common").when(F.col("docs") <= rare, "rare").otherwise("useful")
     return found.withColumn("use", use)

@@ -56,6 +56,18 @@ def word(token: str) -> str:
     return _REPEAT.sub(r"\1", token)
 
 
+# Words that insult, demean or are sexually explicit, with which a model starts before it has seen a label.
+SEED_WORDS = """
+idiot moron imbecile cretin halfwit dumbass dimwit bastard asshole scumbag scum shithead bitch whore slut loser subhuman subhumans vermin filth
+porn xxx nude nudes naked horny anal blowjob boobs breasts fuck fucking cunt cock dick
+drecksack wichser vollidiot missgeburt arschloch hurensohn schlampe ungeziefer abschaum fresse nacktbilder
+imbécil subnormal gilipollas cabrón mierda puta puto zorra basura desnuda desnudo
+connard connasse crétin abruti salaud salope pute enculé vermine gueule
+идиот дебил урод мразь тварь сука шлюха дурак заткнись мусор
+馬鹿 クズ 害虫 黙れ 死ね
+""".split()
+
+
 class TermHasher:
     """Hashed terms of a sentence: words, their ends, pairs of neighbours, and short runs of unspaced scripts."""
 
@@ -86,6 +98,11 @@ class TermHasher:
             self.words[token] = found
         return found
 
+    def seeds(self) -> np.ndarray:
+        """Slots of the seed words."""
+        forms = [plain(w).strip() for w in SEED_WORDS]
+        return np.unique([self._slot("c", w) if _CJK.match(w) else self._slot("w", word(w)) for w in forms])
+
     def sentence(self, text: str) -> np.ndarray:
         """Distinct slots of one plain sentence."""
         slots: set[int] = set()

@@ -57,12 +57,12 @@ class FactorizationMachine:
         np.maximum.at(out, bags.doc, self.sentence_scores(bags))
         return out
 
-    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.04, decay: float = 2e-4, batch: int = 128, seed: int = 7, least: int | None = None, trust: float = 0.4, pull: float = 4.0) -> FactorizationMachine:
+    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.06, decay: float = 2e-4, batch: int = 128, seed: int = 7, least: int | None = None, trust: float = 0.5, pull: float = 4.0, seeds: np.ndarray | None = None, prior: float = 2.5) -> FactorizationMachine:
         """Learns from documents with labels in [0, 1].
 
         Terms in fewer than ``least`` documents are left at 0.  Weights start at
         shrunken log odds (``pull`` is the prior count) and move by adaptive
-        gradient steps.  After a few rounds a label counts with ``trust`` and the
+        gradient steps; ``seeds`` are slots that start ``prior`` higher.  After a few rounds a label counts with ``trust`` and the
         model's own view with the rest, as some judgements are wrong.
         """
         rng = np.random.default_rng(seed)
@@ -83,6 +83,8 @@ class FactorizationMachine:
         odds = np.log((in_pos + 0.5) / (n_pos + 1)) - np.log((in_any - in_pos + 2.0) / (n_any - n_pos + 4))
         start = np.where(used, np.clip(odds, -1.5, 2.5) * in_any / (in_any + pull), 0)
         self.w[:] = 0.35 * start
+        if seeds is not None:
+            self.w[seeds] += prior
         self.v[~used] = 0
         self.b = np.float32(-1.5)
         gw, gv, gb = np.full(size, 0.1, np.float32), np.full(size, 0.1, np.float32), 1.0
@@ -188,11 +190,13 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, lon
     At most ``most`` judged documents of at most ``longest`` characters are
     gathered, a bound on the driver's memory whatever the corpus; judgements that
     are null or of missing documents don't count, repeated ones are averaged.
+    A short list of seed words gives the model its start, so that few judgements
+    suffice for plain abuse; training moves their weights like all others.
     Without judgements of both kinds the model calls every document clean (or,
     with abusive ones only, every document abusive).
     """
     bags, y = labelled_bags(documents, labels, bits, most, longest)
-    return ToxicityModel(FactorizationMachine(1 << bits, seed=seed).fit(bags, y), bits)
+    return ToxicityModel(FactorizationMachine(1 << bits, seed=seed).fit(bags, y, seeds=TermHasher(bits).seeds()), bits)
 
 
 def rates(scored: DataFrame, group: str = "source") -> DataFrame:
