@@ -14,7 +14,7 @@ from gristdex.model import PERCENTILES, Index
 from gristdex.operators.leaves import list_leaf, list_names
 from gristdex.queries.sqlgen import BASE, body, cell, correlated, expression, folded, ranked
 from gristdex.session import table
-from gristdex.sources import catalog, export, load, merge
+from gristdex.sources import catalog, export, load, merge, tables
 
 RULES = KeywordRules(ephemeral=("acctbal", "/quality:[01]/"), timestamped=("event:",))
 #: A list object with headers, for the list leaves.
@@ -251,6 +251,17 @@ def keyword_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return index_of(spark, d).keyword_dict()
 
 
+@query(f"WITH {BASE} SELECT keyword, count(*) AS n_postings, max(doc) AS max_doc FROM P GROUP BY 1")
+def posting_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = index_of(spark, d).rows()
+    return rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_postings"), F.max("doc").alias("max_doc"))
+
+
+@query("SELECT key, doc FROM summaries WHERE key >= 'd' ORDER BY key, doc LIMIT 40 OFFSET 10")
+def table_seek_skip(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_rows(table(spark, d, "summaries").select("key", "doc"), "key", 40, skip=10, start="d", then=("doc",))
+
+
 @query("WITH s AS (SELECT key, doc, row_number() OVER (PARTITION BY key ORDER BY table_seq DESC, doc DESC) AS rn FROM summaries WHERE key IS NOT NULL AND doc IS NOT NULL) SELECT o.json, s.doc FROM overrides o JOIN s ON o.key = s.key AND rn = 1")
 def load_resolve_docs(spark: SparkSession, d: str) -> DataFrame:
     return load.resolve_documents(table(spark, d, "overrides").select("key", "json"), table(spark, d, "summaries"), "key").select("json", "doc")

@@ -44,15 +44,21 @@ def write_table(df: DataFrame, path: str, key: str = "key", compression: str = "
     writer.parquet(path)
 
 
-def read_rows(df: DataFrame, key: str, count: int | None = None, skip: int = 0, start: str | None = None) -> DataFrame:
-    """Rows in key order from the first key >= ``start``, after ``skip`` rows, at most ``count``."""
+def read_rows(df: DataFrame, key: str, count: int | None = None, skip: int = 0, start: str | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Rows in order of the key (and the columns ``then``) from the first key >= ``start``, after ``skip`` rows, at most ``count``."""
     out = df if start is None else df.where(F.col(key) >= start)
-    out = out.orderBy(key)
+    out = out.orderBy(key, *then)
     if skip:
         out = out.offset(skip)
     return out if count is None else out.limit(count)
 
 
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """List objects (key, data) from the files of a folder; a file's key is its name."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.decode("content", "UTF-8").alias("data"))
+
+
 def open_index(spark: SparkSession, catalog: Catalog, rules: KeywordRules | None = None, objects: DataFrame | None = None) -> Index:
     """An index over the Parquet tables a catalog names; nothing is read yet but their schemas.
 

@@ -162,3 +162,16 @@ def test_text_exports(spark, stored):
     rows = spark.createDataFrame([("k", "2024-01-02", 1.25, 1.0, 2.0, 3.0, 4.0), ("k", "2024-01-03", 1.0, *NONE)], "key STRING, date STRING, score FLOAT, pct5 FLOAT, pct25 FLOAT, pct75 FLOAT, pct95 FLOAT")
     assert list(export.series_lines(rows.collect())) == ["k\t2024-01-02\t1.25 1 2 3 4", "k\t2024-01-03\t1"]
     assert set(PERCENTILES) <= set(rows.columns)
+
+
+def test_objects_and_existence(spark, stored, tmp_path):
+    from dataclasses import replace
+
+    from gristdex.operators.leaves import exists
+
+    d, _, _ = stored
+    (tmp_path / "hosts").write_text("{H} a.example")
+    index = replace(tables.open_index(spark, load_catalog(spark, str(d / "catalog.tsv"))), objects=tables.read_objects(spark, str(tmp_path)))
+    assert [tuple(r) for r in index.objects.collect()] == [("hosts", "{H} a.example")]
+    assert Engine(index).evaluate("name-in:hosts").df.count() == 0
+    assert exists(index, "red") and not exists(index, "Red")
