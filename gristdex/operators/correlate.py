@@ -13,7 +13,7 @@ from gristdex.plans.nodes import CorrelateStatement, primary_keyword
 
 #: Posterior odds a range must reach in either direction, and the gain a split must bring.
 CUT_OFF, LEAST_GAIN = math.log(0.55 / 0.45), math.log(1.05)
-_INF = float("inf")
+KEY = ["table_seq", "keyword"]
 
 
 def labels_of(index: Index, statement: CorrelateStatement) -> DataFrame:
@@ -39,7 +39,7 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
     keyword is timestamped, ephemeral keywords are left out and postings of
     timestamped keywords count as days before the document's event: only those
     before it; for documents outside A (and B, if B is timestamped too, else
-    dropped) days before ``now``.  NaN scores are in no range.  An empty A or B
+    dropped) days before ``now``.  NaN scores count nowhere but for that test.  An empty A or B
     gives no row.
 
     Plan: labels are joined once to the postings (the adaptive engine broadcasts
@@ -47,32 +47,34 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
     score); running sums go by keyword over distinct scores.
     """
     labels = labels_of(index, statement)
-    totals = labels.agg(F.sum(F.when(F.col("cls") == 1, 1).otherwise(0)).alias("size_a"), F.sum(F.when(F.col("cls") == -1, 1).otherwise(0)).alias("size_b"))
     postings = index.rows().select("table_seq", "keyword", "doc", "seq", "score")
     stamped = index.rules.is_timestamped(primary_keyword(statement.a))
     if stamped:
         postings = postings.where(~index.rules.ephemeral_column(F.col("keyword")))
-    sizes = postings.groupBy("table_seq", "keyword").agg(F.count(F.lit(1)).alias("n_list"))
-    limits = F.struct(
-        F.log((F.col("size_a") + 1) / (F.col("size_b") + 1)).alias("prior"),
-        F.greatest(F.floor(F.col("size_a") / 20), F.lit(1)).alias("limit_a"),
-        F.greatest(F.floor(F.col("size_b") / 20), F.lit(1)).alias("limit_b"),
-    )
-    bound = totals.where("size_a > 0 AND size_b > 0").select(limits.alias("bound")).scalar()
-    sizes = sizes.withColumn("bound", bound).select("table_seq", "keyword", "n_list", "bound.*").where((F.col("n_list") >= F.col("limit_a")) | (F.col("n_list") >= F.col("limit_b")))
-    if stamped:
         labelled = _by_event(index, postings, labels, index.rules.is_timestamped(primary_keyword(statement.b)), now)
+        lists = _lists(postings).drop("cont").join(_lists(labelled).drop("n_list"), KEY)
         matched = labelled.where("cls IS NOT NULL")
     else:
-        labelled, matched = postings, postings.join(labels.select("doc", "cls"), "doc").select("table_seq", "keyword", "doc", "score", "cls")
-    continuous = labelled.groupBy("table_seq", "keyword").agg(F.max(F.isnan("score") | (F.col("score") != 0)).alias("cont"))
-    key = ["table_seq", "keyword"]
-    # (keyword, score) counts: the only large aggregation.
-    by_score = matched.groupBy(*key, "score").agg(F.sum(F.when(F.col("cls") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("cls") == -1, 1).otherwise(0)).alias("b"))
-    stats = sizes.join(continuous, key).join(by_score.groupBy(*key).agg(F.sum(F.col("a") + F.col("b")).alias("n")), key).where(F.col("n") >= F.least("limit_a", "limit_b"))
-    boolean = stats.where("NOT cont").select(*key, F.lit(-_INF).alias("low"), F.lit(_INF).alias("high"), "prior", "limit_a", "limit_b")
-    ranges = boolean.unionByName(split_ranges(by_score.where(~F.isnan("score")), stats.where("cont"), key))
-    return score_ranges(matched, ranges, key).withColumn("days_before", F.lit(stamped) & index.rules.timestamped_column(F.col("keyword")))
+        lists = _lists(postings)
+        matched = postings.join(labels.select("doc", "cls"), "doc")
+    lists = lists.withColumn("bound", bounds(labels)).select(*KEY, "n_list", "cont", "bound.*")
+    lists = lists.where((F.col("n_list") >= F.col("limit_a")) | (F.col("n_list") >= F.col("limit_b")))
+    matched = matched.where(~F.isnan("score")).select(*KEY, "doc", "score", "cls")
+    ranges = split_ranges(matched, lists)
+    return score_ranges(matched, ranges).withColumn("days_before", F.lit(stamped) & index.rules.timestamped_column(F.col("keyword")))
+
+
+def bounds(labels: DataFrame) -> Column:
+    """The prior log odds and the support limits as one scalar struct; null if A or B is empty."""
+    a, b = F.count_if(F.col("cls") == 1), F.count_if(F.col("cls") == -1)
+    sizes = labels.agg(a.alias("a"), b.alias("b")).where("a > 0 AND b > 0")
+    limit = lambda c: F.greatest(F.floor(F.col(c) / 20), F.lit(1))
+    return sizes.select(F.struct(F.log((F.col("a") + 1) / (F.col("b") + 1)).alias("prior"), limit("a").alias("limit_a"), limit("b").alias("limit_b")).alias("bound")).scalar()
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """Size of each list and whether any of its scores isn't 0."""
+    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_list"), F.max(F.isnan("score") | (F.col("score") != 0)).alias("cont"))
 
 
 def _by_event(index: Index, postings: DataFrame, labels: DataFrame, both: bool, now: float | None) -> DataFrame:
@@ -91,15 +93,18 @@ def _by_event(index: Index, postings: DataFrame, labels: DataFrame, both: bool,
     return out.unionByName(other.select("table_seq", "keyword", "doc", "score", "cls"))
 
 
-def split_ranges(by_score: DataFrame, stats: DataFrame, key: list[str]) -> DataFrame:
-    """(key, low, high, prior, limits): one or two ranges a keyword of ``stats``.
+def split_ranges(matched: DataFrame, lists: DataFrame) -> DataFrame:
+    """(key, cut, next, prior, limits): one row a keyword with enough matches; ``cut`` is null where the range stays whole.
 
-    ``by_score`` has the counts a, b of A and B by (key, score).
+    Counts by (keyword, score) are combined map-side; the windows run over the
+    distinct scores of a keyword.
     """
-    counted = by_score.join(stats.select(*key, "prior", "limit_a", "limit_b"), key)
-    up = Window.partitionBy(*key).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole, line = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("score")
+    by_score = matched.groupBy(*KEY, "score").agg(F.count_if(F.col("cls") == 1).alias("a"), F.count_if(F.col("cls") == -1).alias("b"))
+    counted = by_score.join(lists, KEY)
+    up = Window.partitionBy(*KEY).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole, line = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("score")
     run = counted.select("*", F.sum("a").over(up).alias("a_low"), F.sum("b").over(up).alias("b_low"), F.sum("a").over(whole).alias("a_all"), F.sum("b").over(whole).alias("b_all"), F.row_number().over(line).alias("pos"), F.count(F.lit(1)).over(whole).alias("cuts"), F.lead("score").over(line).alias("next"))
+    run = run.where(F.col("a_all") + F.col("b_all") >= F.least("limit_a", "limit_b"))
 
     def gain(a: Column, b: Column) -> Column:
         p = (a + 1.0) / (a + b + 2.0)
@@ -108,20 +113,26 @@ def split_ranges(by_score: DataFrame, stats: DataFrame, key: list[str]) -> DataF
     low = gain(F.col("a_low"), F.col("b_low"))
     high = gain(F.col("a_all") - F.col("a_low"), F.col("b_all") - F.col("b_low"))
     scored = run.withColumn("gain", F.greatest(low, high))
-    best = scored.withColumn("best", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("gain"), F.asc("pos")))).where("best = 1")
-    split = (F.col("pos") > 1) & (F.col("pos") < F.col("cuts")) & (F.col("gain") >= LEAST_GAIN)
-    inf = F.lit(_INF).cast("double")
-    parts = F.when(split, F.array(F.struct((-inf).alias("low"), F.col("score").cast("double").alias("high")), F.struct(F.col("next").cast("double").alias("low"), inf.alias("high")))).otherwise(F.array(F.struct((-inf).alias("low"), inf.alias("high"))))
-    return best.select(*key, "prior", "limit_a", "limit_b", F.explode(parts).alias("r")).select(*key, "r.low", "r.high", "prior", "limit_a", "limit_b")
-
-
-def score_ranges(matched: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct documents of A and B in each range, its log odds, and the cut-offs."""
-    inside = matched.join(ranges, key).where(~F.isnan("score") & F.col("score").cast("double").between(F.col("low"), F.col("high")))
-    by = [*key, "low", "high", "prior", "limit_a", "limit_b"]
-    docs = inside.groupBy(*by, "doc").agg(F.max("cls").alias("cls"))
-    counts = docs.groupBy(*by).agg(F.sum(F.when(F.col("cls") == 1, 1).otherwise(0)).alias("n_a"), F.sum(F.when(F.col("cls") == -1, 1).otherwise(0)).alias("n_b"))
+    best = scored.withColumn("best", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("gain"), F.asc("pos")))).where("best = 1")
+    split = F.col("cont") & (F.col("pos") > 1) & (F.col("pos") < F.col("cuts")) & (F.col("gain") >= LEAST_GAIN)
+    return best.select(*KEY, F.when(split, F.col("score")).alias("cut"), F.when(split, F.col("next")).alias("next"), "prior", "limit_a", "limit_b")
+
+
+def score_ranges(matched: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Distinct documents of A and B in each range, its log odds, and the cut-offs.
+
+    A document has a posting up to the cut if its lowest score is, and one from
+    the next score on if its highest is, so one row a keyword and document counts
+    for both ranges.
+    """
+    docs = matched.groupBy(*KEY, "doc").agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.max("cls").alias("cls"))
+    placed = docs.join(ranges, KEY)
+    none = F.lit(None).cast("float")
+    part = lambda low, high, test: F.struct(low.alias("low"), high.alias("high"), test.alias("inside"))
+    halves = F.array(part(none, F.col("cut"), F.col("lowest") <= F.col("cut")), part(F.col("next"), none, F.col("highest") >= F.col("next")))
+    parts = F.when(F.col("cut").isNotNull(), halves).otherwise(F.array(part(none, none, F.lit(True))))
+    rows = placed.select(*KEY, "cls", "prior", "limit_a", "limit_b", F.explode(parts).alias("r")).where("r.inside")
+    counts = rows.groupBy(*KEY, "r.low", "r.high", "prior", "limit_a", "limit_b").agg(F.count_if(F.col("cls") == 1).alias("n_a"), F.count_if(F.col("cls") == -1).alias("n_b"))
     odds = F.log((F.col("n_a") + 1.0) / (F.col("n_b") + 1.0)) - F.col("prior")
     kept = counts.where((F.col("n_a") >= F.col("limit_a")) | (F.col("n_b") >= F.col("limit_b"))).withColumn("log_odds", odds).where(F.abs("log_odds") >= CUT_OFF)
-    closed = lambda c: F.when(F.abs(c) < _INF, F.col(c)).cast("float").alias(c)
-    return kept.select("table_seq", "keyword", closed("low"), closed("high"), "log_odds", "n_a", "n_b")
+    return kept.select(*KEY, "low", "high", "log_odds", "n_a", "n_b")

@@ -88,7 +88,7 @@ J AS (SELECT p.*, l.cls, l.event FROM P p LEFT JOIN L l ON p.doc = l.doc WHERE N
 K AS (SELECT table_seq, keyword, doc, score, cls FROM J WHERE NOT ({timed})
  UNION ALL SELECT table_seq, keyword, doc, event - score, cls FROM (SELECT *, row_number() OVER (PARTITION BY table_seq, keyword, doc ORDER BY seq, score) AS nth FROM J WHERE {timed} AND {event}) WHERE nth = 1 AND NOT isnan(score) AND NOT isnan(event) AND score < event{others}),
 C AS (SELECT table_seq, keyword, bool_or(isnan(score) OR score <> 0) AS cont FROM K GROUP BY 1, 2),
-M AS (SELECT k.*, C.cont, lim.* FROM K k JOIN C USING (table_seq, keyword) JOIN S USING (table_seq, keyword) CROSS JOIN lim WHERE cls IS NOT NULL),
+M AS (SELECT k.*, C.cont, lim.* FROM K k JOIN C USING (table_seq, keyword) JOIN S USING (table_seq, keyword) CROSS JOIN lim WHERE cls IS NOT NULL AND NOT isnan(score)),
 OK AS (SELECT table_seq, keyword, any_value(cont) AS cont, any_value(prior) AS prior, any_value(la) AS la, any_value(lb) AS lb FROM M GROUP BY 1, 2 HAVING count(*) >= least(any_value(la), any_value(lb))),
 V AS (SELECT table_seq, keyword, score, sum(CASE WHEN cls = 1 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN cls = -1 THEN 1 ELSE 0 END) AS b FROM M JOIN OK USING (table_seq, keyword) WHERE OK.cont AND NOT isnan(score) GROUP BY 1, 2, 3),
 R AS (SELECT *, sum(a) OVER w AS al, sum(b) OVER w AS bl, sum(a) OVER t AS aw, sum(b) OVER t AS bw, row_number() OVER w AS pos, count(*) OVER t AS cuts, lead(score) OVER (PARTITION BY table_seq, keyword ORDER BY score) AS nx FROM V JOIN OK USING (table_seq, keyword)
