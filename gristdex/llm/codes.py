@@ -12,10 +12,7 @@ def code(column: str | Column) -> Column:
 
 
 def dictionary(members: DataFrame) -> DataFrame:
-    """(code, name, size) of each set, from rows (name, rec) that need not be distinct in ``rec``-less form.
-
-    ``members`` has distinct (name, rec).  Raises if two names share a code.
-    """
+    """(code, name, size) of each set, from distinct (name, rec).  Reading it raises if two names share a code."""
     by = members.groupBy(code("name").alias("code")).agg(F.min("name").alias("name"), F.max("name").alias("last"), F.count(F.lit(1)).alias("size"))
     checked = F.when(F.col("name") == F.col("last"), F.col("name")).otherwise(F.raise_error(F.lit("two keywords share a code")).cast("string"))
     return by.select("code", checked.alias("name"), "size")
