@@ -39,27 +39,31 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
     keyword is timestamped, ephemeral keywords are left out and postings of
     timestamped keywords count as days before the document's event: only those
     before it; for documents outside A (and B, if B is timestamped too, else
-    dropped) days before ``now``.  NaN scores count nowhere but for that test.  An empty A or B
-    gives no row.
+    dropped) days before ``now``.  NaN scores count nowhere but for that test.  An
+    empty A or B gives no row.
 
-    Plan: labels are joined once to the postings (the adaptive engine broadcasts
-    them if their measured size allows); counts are partial sums by (keyword,
-    score); running sums go by keyword over distinct scores.
+    Plan: labels are joined to the postings (the adaptive engine broadcasts them if
+    their measured size allows); counts by (keyword, score) are combined map-side
+    and running sums go over the distinct scores of a keyword; one row a keyword
+    and document then counts for both ranges.
     """
     labels = labels_of(index, statement)
     postings = index.rows().select("table_seq", "keyword", "doc", "seq", "score")
     stamped = index.rules.is_timestamped(primary_keyword(statement.a))
+    plain, timed = postings, None
     if stamped:
-        postings = postings.where(~index.rules.ephemeral_column(F.col("keyword")))
-        labelled = _by_event(index, postings, labels, index.rules.is_timestamped(primary_keyword(statement.b)), now)
-        lists = _lists(postings).drop("cont").join(_lists(labelled).drop("n_list"), KEY)
-        matched = labelled.where("cls IS NOT NULL")
-    else:
-        lists = _lists(postings)
-        matched = postings.join(labels.select("doc", "cls"), "doc")
+        is_timed = index.rules.timestamped_column(F.col("keyword"))
+        kept = postings.where(~index.rules.ephemeral_column(F.col("keyword")))
+        plain, timed = kept.where(~is_timed), kept.where(is_timed)
+    lists = _lists(plain)
+    matched = plain.join(labels.select("doc", "cls"), "doc").select(*KEY, "doc", "score", "cls")
+    if timed is not None:
+        aged = _by_event(timed, labels, index.rules.is_timestamped(primary_keyword(statement.b)), now)
+        lists = lists.unionByName(_lists(timed).drop("cont").join(_lists(aged).drop("n_list"), KEY))
+        matched = matched.unionByName(aged.where("cls IS NOT NULL"))
     lists = lists.withColumn("bound", bounds(labels)).select(*KEY, "n_list", "cont", "bound.*")
     lists = lists.where((F.col("n_list") >= F.col("limit_a")) | (F.col("n_list") >= F.col("limit_b")))
-    matched = matched.where(~F.isnan("score")).select(*KEY, "doc", "score", "cls")
+    matched = matched.where(~F.isnan("score"))
     ranges = split_ranges(matched, lists)
     return score_ranges(matched, ranges).withColumn("days_before", F.lit(stamped) & index.rules.timestamped_column(F.col("keyword")))
 
@@ -77,20 +81,20 @@ def _lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_list"), F.max(F.isnan("score") | (F.col("score") != 0)).alias("cont"))
 
 
-def _by_event(index: Index, postings: DataFrame, labels: DataFrame, both: bool, now: float | None) -> DataFrame:
-    """Scores of timestamped keywords turned into days before the event of their document."""
-    joined = postings.join(labels, "doc", "left")
-    timed = index.rules.timestamped_column(F.col("keyword"))
-    first = Window.partitionBy("table_seq", "keyword", "doc").orderBy("seq", "score")
-    has_event = F.col("cls") == 1 if not both else F.col("cls").isNotNull()
-    held = joined.where(timed & has_event).withColumn("nth", F.row_number().over(first)).where("nth = 1 AND NOT isnan(score) AND NOT isnan(event) AND score < event")
-    held = held.withColumn("score", (F.col("event") - F.col("score")).cast("float")).select("table_seq", "keyword", "doc", "score", "cls")
-    out = joined.where(~timed).select("table_seq", "keyword", "doc", "score", "cls").unionByName(held)
+def _by_event(timed: DataFrame, labels: DataFrame, both: bool, now: float | None) -> DataFrame:
+    """(key, doc, score, cls) of timestamped keywords, scores turned into days before the event of their document.
+
+    Of a document with an event, the first posting counts if it lies before.
+    """
+    events = labels if both else labels.where("cls = 1")
+    firsts = timed.groupBy(*KEY, "doc").agg(F.min(F.struct("seq", "score")).alias("first"))
+    held = firsts.select(*KEY, "doc", F.col("first.score").alias("score")).where(~F.isnan("score")).join(events, "doc").where(~F.isnan("event") & (F.col("score") < F.col("event")))
+    held = held.select(*KEY, "doc", (F.col("event") - F.col("score")).cast("float").alias("score"), "cls")
     if both:
-        return out
+        return held
     today = F.lit(float(now)) if now is not None else F.expr("unix_micros(current_timestamp()) / 86400000000D")
-    other = joined.where(timed & ~F.coalesce(F.col("cls") == 1, F.lit(False))).withColumn("score", (today.cast("float") - F.col("score")).cast("float"))
-    return out.unionByName(other.select("table_seq", "keyword", "doc", "score", "cls"))
+    others = timed.join(labels.select("doc", "cls"), "doc", "left").where("cls IS NULL OR cls = -1")
+    return held.unionByName(others.select(*KEY, "doc", (today.cast("float") - F.col("score")).cast("float").alias("score"), "cls"))
 
 
 def split_ranges(matched: DataFrame, lists: DataFrame) -> DataFrame:

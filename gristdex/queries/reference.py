@@ -14,7 +14,7 @@ from gristdex.model import PERCENTILES, Index
 from gristdex.operators.leaves import list_leaf, list_names
 from gristdex.queries.sqlgen import BASE, body, cell, correlated, expression, folded, ranked
 from gristdex.session import table
-from gristdex.sources import catalog, export, load, merge, tables
+from gristdex.sources import blocks, catalog, export, load, merge, tables
 
 RULES = KeywordRules(ephemeral=("acctbal", "/quality:[01]/"), timestamped=("event:",))
 #: A list object with headers, for the list leaves.
@@ -257,6 +257,11 @@ def posting_stats(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_postings"), F.max("doc").alias("max_doc"))
 
 
+@query("SELECT keyword, doc, seq, score FROM postings WHERE keyword IS NOT NULL AND doc BETWEEN 100 AND 1000000100")
+def posting_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.between(blocks.pack(table(spark, d, "postings")), 100, 1000000100).select("keyword", "doc", "seq", "score")
+
+
 @query("SELECT key, doc FROM summaries WHERE key >= 'd' ORDER BY key, doc LIMIT 40 OFFSET 10")
 def table_seek_skip(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_rows(table(spark, d, "summaries").select("key", "doc"), "key", 40, skip=10, start="d", then=("doc",))
