@@ -306,22 +306,53 @@ _CLEAN = "SELECT key, ts, min(score) AS score FROM time_series WHERE key IS NOT
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
+    """One row a key and instant, as union takes no differing scores: the one of the lowest score, with its percentiles."""
     rows = table(spark, d, "time_series").where("key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
-    return rows.groupBy("key", "ts").agg(F.min("score").alias("score")).select("*", *(F.lit(None).cast("float").alias(c) for c in PERCENTILES))
+    return rows.groupBy("key", "ts").agg(F.min(F.struct("score", *PERCENTILES)).alias("one")).select("key", "ts", "one.*")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """Without percentiles, which can't be added."""
+    return rows.select("key", "ts", "score", *(F.lit(None).cast("float").alias(c) for c in PERCENTILES))
+
+
+def overlapping(rows: DataFrame) -> list[DataFrame]:
+    """Two tables that share the middle third of the time ``rows`` cover, both ends included; no row is in neither."""
+    at = rows.crossJoin(rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")))
+    parts = at.where("coalesce((ts - lo) * 3 <= (hi - lo) * 2, true)"), at.where("(ts - lo) * 3 >= hi - lo")
+    return [p.drop("lo", "hi") for p in parts]
+
+
+#: The same two tables, of rows ``c``.
+_OVERLAPPING = """t AS (SELECT *, 3 * (epoch_us(ts) - epoch_us(min(ts) OVER ())) AS thrice, epoch_us(max(ts) OVER ()) - epoch_us(min(ts) OVER ()) AS span FROM c),
+u AS (SELECT 0 AS source, * FROM t WHERE coalesce(thrice <= 2 * span, true) UNION ALL SELECT 1, * FROM t WHERE thrice >= span)"""
 
 
 @query(_CLEAN)
 def merge_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clean(spark, d)
-    return merge.merge_series([rows.where("ts < '2020-01-01'"), rows.where("ts >= '2018-01-01'")], "union").select("key", "ts", "score")
+    return merge.merge_series(overlapping(_clean(spark, d)), "union").select("key", "ts", "score")
+
+
+@query(f"""WITH c AS (SELECT * FROM time_series WHERE key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)
+QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY score, pct5 NULLS FIRST, pct25 NULLS FIRST, pct75 NULLS FIRST, pct95 NULLS FIRST) = 1), {_OVERLAPPING}
+SELECT key, ts, score, pct5, pct25, pct75, pct95 FROM u QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY source) = 1""")
+def merge_union_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_series(overlapping(_clean(spark, d)), "union").select("key", "ts", "score", *PERCENTILES)
 
 
 @query(f"WITH c AS ({_CLEAN}) SELECT key, ts, CAST(CASE WHEN ts < '2020-01-01' AND ts >= '2018-01-01' THEN score + score ELSE score END AS FLOAT) AS score FROM c")
 def merge_sum(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clean(spark, d)
+    rows = _plain(_clean(spark, d))
     return merge.merge_series([rows.where("ts < '2020-01-01'"), rows.where("ts >= '2018-01-01'")], "sum").select("key", "ts", "score")
 
 
+@query(f"WITH c AS (SELECT key, ts, score FROM time_series WHERE key IS NOT NULL), {_OVERLAPPING} SELECT key, ts, CAST(sum(score) AS FLOAT) AS score FROM u GROUP BY 1, 2")
+def merge_sum_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of both tables, repeated ones and those without a score too."""
+    rows = _plain(table(spark, d, "time_series").where("key IS NOT NULL"))
+    return merge.merge_series(overlapping(rows), "sum").select("key", "ts", "score")
+
+
 @query("""WITH r AS (SELECT *, CASE WHEN arrived_at <= ts + INTERVAL 1 DAY THEN 0 ELSE 1 END AS source, coalesce(NOT isnan(pct5) AND NOT isinf(pct5), false) AS has FROM time_series WHERE key IS NOT NULL)
 SELECT key, ts, score, pct5 FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY has, source, score NULLS FIRST, pct5 NULLS FIRST, pct25 NULLS FIRST, pct75 NULLS FIRST, pct95 NULLS FIRST) AS rn FROM r) WHERE rn = 1""")
 def merge_pick_one(spark: SparkSession, d: str) -> DataFrame:
