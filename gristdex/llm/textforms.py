@@ -15,7 +15,10 @@ LOOKALIKES = str.maketrans("аевгдзікмнорстухјѕԁһɡαεικν
 # Digits and signs that stand for letters.
 STAND_INS = str.maketrans("013457@$!+|", "oieastasiti")
 
-_TAGS = re.compile(r"\[/?[a-z]{1,6}(?:=[^\]\n]{0,80})?\]|</?[a-z]{1,12}[^<>\n]{0,80}>", re.I)
+# Names of tags; other words in brackets are text.
+_BB = "b|i|u|s|url|img|quote|code|list|li|size|color|font|center|left|right|email|user|spoiler|sub|sup|table|tr|td|th|hr|br"
+_HTML = "a|abbr|b|big|blockquote|body|br|center|cite|code|dd|del|div|dl|dt|em|font|form|h[1-6]|head|hr|html|i|iframe|img|input|ins|kbd|li|link|meta|ol|p|pre|q|s|script|small|span|strike|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|tt|u|ul|video"
+_TAGS = re.compile(rf"\[/?(?:{_BB})(?:=([^\[\]]*))?\]|</?(?:{_HTML})(?:\s([^<>=]*=[^<>]*)|\s*/?)>", re.I)
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _MARKS = re.compile("[̀-ͯ]+")
 _SPELLED = re.compile(r"\b[^\W_]([-_.*~·])[^\W_](?:\1[^\W_]){2,}(?!\w)|\b[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
@@ -28,12 +31,23 @@ _REPEAT = re.compile(r"(.)\1+")
 _LATIN, _ALIEN = re.compile("[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 
 
+def _untagged(text: str) -> str:
+    """Text without tags; their attributes follow as lines of their own, so that a word cut by a tag is whole again."""
+    inside: list[str] = []
+
+    def cut(m: re.Match) -> str:
+        inside.extend(x for x in m.groups() if x)
+        return ""
+
+    return "\n".join([_TAGS.sub(cut, text), *inside])
+
+
 def plain(text: str) -> str:
-    """Lower case without markup, invisible characters, accents and letters spelled one by one."""
+    """Lower case without tags, invisible characters, accents and letters spelled one by one; what tags hold comes last."""
     if "&" in text:
         text = html.unescape(text)
     if "[" in text or "<" in text:
-        text = _TAGS.sub("", text)
+        text = _untagged(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
         text = _CJK.sub(r" \g<0> ", unicodedata.normalize("NFKC", _MARKS.sub("", text)))
