@@ -262,6 +262,11 @@ def posting_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.between(blocks.pack(table(spark, d, "postings")), 100, 1000000100).select("keyword", "doc", "seq", "score")
 
 
+@query("SELECT table_seq, keyword, doc, seq, score, pct5, pct25, pct75, pct95 FROM postings WHERE keyword IS NOT NULL AND doc IS NOT NULL")
+def posting_blocks_all(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.unpack(blocks.pack(table(spark, d, "postings")))
+
+
 @query("SELECT key, doc FROM summaries WHERE key >= 'd' ORDER BY key, doc LIMIT 40 OFFSET 10")
 def table_seek_skip(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_rows(table(spark, d, "summaries").select("key", "doc"), "key", 40, skip=10, start="d", then=("doc",))
