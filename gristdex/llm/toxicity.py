@@ -13,6 +13,8 @@ from gristdex.llm.textforms import TermHasher
 
 #: Labelled documents that a model is fitted on, at most; a larger table is sampled by the hash of the id.
 MAX_LABELLED = 20_000
+#: Judged documents that a term must be in to be learned, whatever their number.
+LEAST = 2
 
 
 class Bags:
@@ -57,7 +59,7 @@ class FactorizationMachine:
         np.maximum.at(out, bags.doc, self.sentence_scores(bags))
         return out
 
-    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.06, decay: float = 2e-4, batch: int = 128, seed: int = 7, least: int | None = None, trust: float = 0.5, pull: float = 4.0, seeds: np.ndarray | None = None, prior: float = 2.5) -> FactorizationMachine:
+    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.06, decay: float = 2e-4, batch: int = 128, seed: int = 7, least: int = LEAST, trust: float = 0.5, pull: float = 4.0, seeds: np.ndarray | None = None, prior: float = 2.5) -> FactorizationMachine:
         """Learns from documents with labels in [0, 1].
 
         Terms in fewer than ``least`` documents are left at 0.  Weights start at
@@ -77,7 +79,6 @@ class FactorizationMachine:
         pair_doc, pair_slot = pair // size, pair % size
         in_pos = np.bincount(pair_slot, y[pair_doc], size)
         in_any = np.bincount(pair_slot, minlength=size)
-        least = least or (2 if len(has) < 3000 else 3)
         used = in_any >= least
         n_pos, n_any = y[has].sum(), len(has)
         odds = np.log((in_pos + 0.5) / (n_pos + 1)) - np.log((in_any - in_pos + 2.0) / (n_any - n_pos + 4))
