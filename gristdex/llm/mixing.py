@@ -68,10 +68,11 @@ class Mix:
         """(doc_id, source, tokens, repeats) of every record in the mix, ``repeats`` at least 1."""
         order = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         before = self.ranges.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-        cuts = before.join(self.plan().select("source", "epochs", "rest"), "source").select("source", "range", "before", "epochs", "rest")
+        cuts = before.join(self.plan().select("source", "max_repeats", "epochs", "rest"), "source").select("source", "range", "before", "max_repeats", "epochs", "rest")
         within = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = self.rows.withColumn("running", F.sum("tokens").over(within)).join(cuts, ["source", "range"])
-        more = (F.col("before") + F.col("running") <= F.col("rest")).cast("bigint")
+        # The rest of a capped source is 0, which records without tokens would still fit into.
+        more = ((F.col("epochs") < F.col("max_repeats")) & (F.col("before") + F.col("running") <= F.col("rest"))).cast("bigint")
         return placed.withColumn("repeats", F.col("epochs") + more).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
     def report(self) -> DataFrame:
