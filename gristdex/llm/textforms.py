@@ -1,4 +1,10 @@
-"""Plain forms of disguised words, sentences and hashed terms for classifiers over forum text."""
+"""Plain forms of disguised words, sentences and hashed terms for classifiers over forum text.
+
+A batch of texts is worked on as one string and one array of its code points:
+markup, accents and spelled-out words are undone over the whole string, words
+and sentences are found by classes of code points, and each distinct word of a
+batch is hashed once.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,8 @@ import html
 import re
 import unicodedata
 import zlib
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import regex
@@ -18,45 +26,90 @@ STAND_INS = str.maketrans("013457@$!+|", "oieastasiti")
 # Names of tags; other words in brackets are text.
 _BB = "b|i|u|s|url|img|quote|code|list|li|size|color|font|center|left|right|email|user|spoiler|sub|sup|table|tr|td|th|hr|br"
 _HTML = "a|abbr|b|big|blockquote|body|br|center|cite|code|dd|del|div|dl|dt|em|font|form|h[1-6]|head|hr|html|i|iframe|img|input|ins|kbd|li|link|meta|ol|p|pre|q|s|script|small|span|strike|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|tt|u|ul|video"
-_TAGS = re.compile(rf"\[/?(?:{_BB})(?:=([^\[\]]*))?\]|</?(?:{_HTML})(?:\s([^<>=]*=[^<>]*)|\s*/?)>", re.I)
+#: Stands between the texts of a batch; no pattern matches across it.
+_END = "\x1e"
+_BETWEEN = f"\n{_END}\n"
+_TAGS = re.compile(rf"\[/?(?:{_BB})(?:=([^\[\]{_END}]*))?\]|</?(?:{_HTML})(?:[^\S{_END}]([^<>={_END}]*=[^<>{_END}]*)|[^\S{_END}]*/?)>", re.I)
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _MARKS = re.compile("[̀-ͯ]+")
 _SPELLED = re.compile(r"\b[^\W_]([-_.*~·])[^\W_](?:\1[^\W_]){2,}(?!\w)|\b[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
 _JOINERS = re.compile(r"[-_.*~· ]")
-_SENTENCE = re.compile("[.!?…]+[\\s»”\"]+|[。！？]+|[\n\r\x0b\x0c\x85  ]+")
-_WORD = re.compile(r"[^\W_](?:[\w*@$!#+|']*[\w*@$+])?")
-# Scripts written without blanks.
-_CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]+")
 _REPEAT = re.compile(r"(.)\1+")
 _LATIN, _ALIEN = re.compile("[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
-
-
-def _untagged(text: str) -> str:
-    """Text without tags; their attributes follow as lines of their own, so that a word cut by a tag is whole again."""
-    inside: list[str] = []
-
-    def cut(m: re.Match) -> str:
-        inside.extend(x for x in m.groups() if x)
-        return ""
-
-    return "\n".join([_TAGS.sub(cut, text), *inside])
+# Scripts written without blanks.
+_CJK = "ぁ-ヿ㐀-䶿一-鿿"
+_UNSPACED = re.compile(f"[{_CJK}]")
+
+# Classes of code points.  A word is a run of INNER ones from its first ALNUM to its last TAIL.
+ALNUM, INNER, TAIL, DIGIT, UNSPACED, BREAK, STOP, AFTER = (1 << i for i in range(8))
+_CLASSES = {
+    ALNUM: r"[^\W_]+",
+    INNER: r"[\w*@$!#+|']+",
+    TAIL: r"[\w*@$+]+",
+    DIGIT: r"\d+",
+    UNSPACED: f"[{_CJK}]+",
+    # A sentence ends at a line's end or a full stop of the unspaced scripts, or at a stop with blanks or quotes after it.
+    BREAK: f"[\n\r\x0b\x0c\x85  。！？{_END}]+",
+    STOP: r"[.!?…]+",
+    AFTER: r"[\s»”\"]+",
+}
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The classes of every code point, as bits."""
+    every = "".join(map(chr, range(0x110000)))
+    table = np.zeros(0x110000, np.uint8)
+    for bit, pattern in _CLASSES.items():
+        for m in re.finditer(pattern, every):
+            table[m.start() : m.end()] |= bit
+    return table
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def joined(texts: list[str | None]) -> tuple[str, np.ndarray]:
+    """The plain forms of all texts in one string, and the text that each of its pieces belongs to.
+
+    Plain is lower case without tags, invisible characters, accents and letters
+    spelled one by one.  A tag is cut out, so a word it stood in is whole again;
+    what tags hold follows after the texts, as pieces of their own.
+    """
+    parts = [t or "" for t in texts]
+    whole = _BETWEEN.join(parts)
+    if whole.count(_END) >= len(parts):
+        whole = _BETWEEN.join(t.replace(_END, "\n") for t in parts)
+    if "&" in whole:
+        whole = html.unescape(whole)
+    owner = np.arange(len(parts))
+    if "[" in whole or "<" in whole:
+        inside: list[str] = []
+        at: list[int] = []
+
+        def cut(m: re.Match) -> str:
+            held = m[1] or m[2]
+            if held:
+                inside.append(held)
+                at.append(m.start())
+            return ""
+
+        bare = _TAGS.sub(cut, whole)
+        if inside:
+            ends = np.flatnonzero(_codes(whole) == ord(_END))
+            owner = np.concatenate([owner, np.searchsorted(ends, at)])
+            bare = _BETWEEN.join([bare, *inside])
+        whole = bare
+    if not whole.isascii():
+        whole = unicodedata.normalize("NFKD", _INVISIBLE.sub("", whole))
+        whole = unicodedata.normalize("NFKC", _MARKS.sub("", whole))
+    return _SPELLED.sub(lambda m: _JOINERS.sub("", m[0]), whole.lower()), owner
 
 
 def plain(text: str) -> str:
-    """Lower case without tags, invisible characters, accents and letters spelled one by one; what tags hold comes last."""
-    if "&" in text:
-        text = html.unescape(text)
-    if "[" in text or "<" in text:
-        text = _untagged(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = _CJK.sub(r" \g<0> ", unicodedata.normalize("NFKC", _MARKS.sub("", text)))
-    return _SPELLED.sub(lambda m: _JOINERS.sub("", m[0]), text.lower())
-
-
-def sentences(text: str) -> list[str]:
-    """Sentences of a plain text."""
-    return [s for s in map(str.strip, _SENTENCE.split(text)) if s]
+    """The plain form of one text; what its tags hold comes last, each on a line of its own."""
+    return joined([text])[0].replace(_BETWEEN, "\n")
 
 
 def word(token: str) -> str:
@@ -70,65 +123,124 @@ def word(token: str) -> str:
     return _REPEAT.sub(r"\1", token)
 
 
-# Words that insult, demean or are sexually explicit, with which a model starts before it has seen a label.
-SEED_WORDS = """
-idiot moron imbecile cretin halfwit dumbass dimwit bastard asshole scumbag scum shithead bitch whore slut loser subhuman subhumans vermin filth
-porn xxx nude nudes naked horny anal blowjob boobs breasts fuck fucking cunt cock dick
-drecksack wichser vollidiot missgeburt arschloch hurensohn schlampe ungeziefer abschaum fresse nacktbilder
-imbécil subnormal gilipollas cabrón mierda puta puto zorra basura desnuda desnudo
-connard connasse crétin abruti salaud salope pute enculé vermine gueule
-идиот дебил урод мразь тварь сука шлюха дурак заткнись мусор
-馬鹿 クズ 害虫 黙れ 死ね
-""".split()
+class Sentences(NamedTuple):
+    """Sentences of documents: words of a sentence, terms of a word.
+
+    ``words`` are numbers of distinct words, those of sentence i from
+    ``offsets[i]`` to ``offsets[i + 1]``; ``slots`` are terms of distinct words,
+    cut by ``cuts`` in the same way; ``doc`` is the document of each sentence,
+    ascending, and ``documents`` the number of documents.
+    """
+
+    words: np.ndarray
+    offsets: np.ndarray
+    slots: np.ndarray
+    cuts: np.ndarray
+    doc: np.ndarray
+    documents: int
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``lengths`` of them, one span after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 class TermHasher:
-    """Hashed terms of a sentence: words, their ends, pairs of neighbours, and short runs of unspaced scripts."""
+    """Hashed terms of words: the word itself and one form that a masked letter leaves as it is; of unspaced scripts, short runs.
+
+    Distinct words of a batch are told apart by a 64-bit polynomial hash of their
+    code points; the terms of the last ``remember`` words are kept.
+    """
+
+    def __init__(self, bits: int = 18, remember: int = 200_000):
+        self.size, self.remember = 1 << bits, remember
+        self.powers = self.inverse = np.ones(1, np.uint64)
+        self._forget()
 
-    def __init__(self, bits: int = 18, remember: int = 100_000):
-        self.size, self.remember, self.words = 1 << bits, remember, {}
-        self.start = self._slot("w", "^")
+    def _forget(self) -> None:
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.slots, self.cuts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _slot(self, kind: str, what: str) -> int:
         return zlib.crc32(f"{kind}{what}".encode("utf-8", "replace")) % self.size
 
-    def _terms(self, token: str) -> tuple[int, list[int]]:
-        """(slot that stands for the word in pairs, slots of its terms)."""
-        found = self.words.get(token)
-        if found is None:
-            if _CJK.match(token):
-                slots = [self._slot("c", token[i : i + k]) for k in (1, 2, 3) for i in range(len(token) - k + 1)]
-                found = (self._slot("w", token[-2:]), slots)
-            else:
-                w = word(token)
-                own, slots = self._slot("w", w), [self._slot("w", w)]
-                if len(w) > 5:
-                    slots += [self._slot("p", w[:4]), self._slot("s", w[-4:])]
-                if len(w) > 3:  # the same for a word and for one with a letter in its middle masked
-                    slots.append(self._slot("k", f"{w[:2]}{w[-2:]}{len(w)}"))
-                found = (own, slots)
-            if len(self.words) >= self.remember:
-                self.words.clear()
-            self.words[token] = found
-        return found
-
-    def seeds(self) -> np.ndarray:
-        """Slots of the seed words."""
-        forms = [plain(w).strip() for w in SEED_WORDS]
-        return np.unique([self._slot("c", w) if _CJK.match(w) else self._slot("w", word(w)) for w in forms])
-
-    def sentence(self, text: str) -> np.ndarray:
-        """Distinct slots of one plain sentence."""
-        slots: set[int] = set()
-        last, get, size = self.start, self.words.get, self.size
-        for token in _WORD.findall(text):
-            own, more = get(token) or self._terms(token)
-            slots.update(more)
-            slots.add((last * 1000003 + own * 31 + 7) % size)
-            last = own
-        return np.array(sorted(slots), np.int32)
-
-    def document(self, text: str | None) -> list[np.ndarray]:
-        """The slots of each sentence of a text; none for null, empty and blank texts."""
-        found = [self.sentence(s) for s in sentences(plain(text))] if text else []
-        return [f for f in found if len(f)]
+    def terms(self, token: str) -> list[int]:
+        """The slots of one plain word."""
+        if _UNSPACED.match(token):
+            return [self._slot("c", token[i : i + k]) for k in (1, 2, 3) for i in range(len(token) - k + 1)]
+        w = word(token)
+        own = self._slot("w", w)
+        return [own, self._slot("k", f"{w[:2]}{w[-2:]}{len(w)}")] if len(w) > 3 else [own]
+
+    def _hashes(self, codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each span of code points, from running sums of a polynomial over all of them."""
+        if len(self.powers) <= len(codes):
+            steps = np.full(len(codes) * 2, _BASE, np.uint64)
+            steps[0] = 1
+            self.powers = np.multiply.accumulate(steps)
+            steps[1:] = _UNBASE
+            self.inverse = np.multiply.accumulate(steps)
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed ^ (mixed >> np.uint64(29))) * self.powers[: len(codes)], dtype=np.uint64)])
+        return (sums[end] - sums[first]) * self.inverse[first]
+
+    def _rows(self, text: str, keys: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each distinct word among those kept; new ones are hashed."""
+        if len(self.known) + len(keys) > self.remember:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        new = self.known[at] != keys if len(self.known) else np.ones(len(keys), bool)
+        if new.any():
+            fresh = [self.terms(text[i:j]) for i, j in zip(first[new].tolist(), end[new].tolist())]
+            place = len(self.cuts) - 1 + np.arange(len(fresh))
+            self.slots = np.concatenate([self.slots, np.array([s for f in fresh for s in f], np.int32)])
+            self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum([len(f) for f in fresh])])
+            known, place = np.concatenate([self.known, keys[new]]), np.concatenate([self.place, place])
+            order = np.argsort(known)
+            self.known, self.place = known[order], place[order]
+            at = np.searchsorted(self.known, keys)
+        return self.place[at]
+
+    def batch(self, texts: list[str | None]) -> Sentences:
+        """The sentences of a batch of texts with their distinct words; none for null, empty and blank texts."""
+        text, owner = joined(texts)
+        codes = _codes(text)
+        kind = _classes()[codes]
+        state = ((kind & INNER) != 0).astype(np.int8) + ((kind & UNSPACED) != 0)
+        edges = np.flatnonzero(np.diff(state, prepend=0, append=0))
+        run = np.flatnonzero(state[edges[:-1]]) if len(edges) else edges
+        letters, tails = np.flatnonzero(kind & ALNUM), np.flatnonzero(kind & TAIL)
+        place = np.searchsorted(letters, edges[run])
+        run, place = run[place < len(letters)], place[place < len(letters)]
+        held = letters[place] < edges[run + 1] if len(run) else np.zeros(0, bool)
+        run, first = run[held], letters[place[held]]
+        if not len(first):
+            none = np.zeros(0, np.int64)
+            return Sentences(none, np.zeros(1, np.int64), none.astype(np.int32), np.zeros(1, np.int64), none, len(texts))
+        end = tails[np.searchsorted(tails, edges[run + 1]) - 1] + 1
+        keys = self._hashes(codes, first, end)
+        digits = np.concatenate([[0], np.cumsum((kind & DIGIT) != 0)])
+        keys[digits[end] - digits[first] == end - first] = 0  # all numbers are one word
+        distinct, seen, number = np.unique(keys, return_index=True, return_inverse=True)
+        rows = self._rows(text, distinct, first[seen], end[seen])
+
+        stop = (kind & BREAK) != 0
+        stop[:-1] |= ((kind[:-1] & STOP) != 0) & ((kind[1:] & AFTER) != 0)
+        # A word counts once a sentence, wherever it stands.
+        pair = np.unique(np.cumsum(stop)[first] * len(distinct) + number)
+        sentence, words = pair // len(distinct), pair % len(distinct)
+        starts = np.flatnonzero(np.diff(sentence, prepend=-1))
+        piece = np.cumsum(codes == ord(_END))[first]
+        doc_of = np.zeros(int(sentence[-1]) + 1, np.int64)
+        doc_of[np.cumsum(stop)[first]] = owner[piece]
+        doc, offsets = doc_of[sentence[starts]], np.append(starts, len(words))
+        if len(owner) > len(texts):  # pieces from tags stand after all texts
+            order = np.argsort(doc, kind="stable")
+            sizes = np.diff(offsets)[order]
+            words, doc, offsets = words[spans(offsets[order], sizes)], doc[order], np.concatenate([[0], np.cumsum(sizes)])
+        counts = self.cuts[rows + 1] - self.cuts[rows]
+        return Sentences(words, offsets, self.slots[spans(self.cuts[rows], counts)], np.concatenate([[0], np.cumsum(counts)]), doc, len(texts))

@@ -9,63 +9,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristdex.llm.textforms import TermHasher
+from gristdex.llm.textforms import Sentences, TermHasher, spans
 
 #: Labelled documents that a model is fitted on, at most; a larger table is sampled by the hash of the id.
 MAX_LABELLED = 20_000
+#: Characters of a labelled document that it may have at most to be fitted on; longer ones aren't.
+LONGEST = 20_000
 #: Judged documents that a term must be in to be learned, whatever their number.
 LEAST = 2
+#: Share of judgements taken to be wrong.
+WRONG = 0.07
 
 
 class Bags:
-    """Sentences of documents as one flat array of slots with offsets, and the document of each sentence."""
+    """Sentences as one flat array of slots with offsets, and the document of each sentence, ascending."""
 
-    def __init__(self, documents: list[list[np.ndarray]]):
-        flat = [s for d in documents for s in d]
-        self.slots = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in flat])]).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-        self.documents = len(documents)
+    def __init__(self, slots: np.ndarray, offsets: np.ndarray, doc: np.ndarray, documents: int):
+        self.slots, self.offsets, self.doc, self.documents = slots, offsets, doc, documents
+
+    @classmethod
+    def of(cls, s: Sentences) -> Bags:
+        """The terms of all distinct words of each sentence."""
+        counts = np.diff(s.cuts)[s.words]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return cls(s.slots[spans(s.cuts[s.words], counts)], ends[s.offsets], s.doc, s.documents)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts, axis=0)
+
+
+def _chance(scores: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
 
 
 class FactorizationMachine:
-    """score(x) = b + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2) over the slots of a sentence.
+    """score(x) = b + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2) over the terms of a sentence.
 
     The factors give each pair of terms a weight of its own, as insult with group
-    mention, which adding single weights can't.  A document's score is that of its
-    highest sentence; labels are per document, so each round learns from the
-    sentence that stands out in it.
+    mention, which adding single weights can't; there are no ready-made pairs
+    among the terms.  A document's score is that of its highest sentence.
     """
 
-    def __init__(self, size: int, factors: int = 8, seed: int = 7):
+    def __init__(self, size: int, factors: int = 4, seed: int = 7, spread: float = 0.2):
         self.w, self.b = np.zeros(size, np.float32), np.float32(0)
-        self.v = np.random.default_rng(seed).normal(0, 0.02, (size, factors)).astype(np.float32)
-
-    def sentence_scores(self, bags: Bags, step: int = 50_000) -> np.ndarray:
-        n = len(bags.offsets) - 1
-        out = np.full(n, self.b, np.float32)
-        for lo in range(0, n, step):
-            hi = min(lo + step, n)
-            at, slots = bags.offsets[lo : hi + 1], bags.slots[bags.offsets[lo] : bags.offsets[hi]]
-            starts = (at[:-1] - at[0]).astype(np.int64)
-            v = self.v[slots]
-            total = np.add.reduceat(v, starts, axis=0)
-            out[lo:hi] += np.add.reduceat(self.w[slots], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
-        return out
+        self.v = np.random.default_rng(seed).normal(0, spread, (size, factors)).astype(np.float32)
+
+    def _raw(self, slots: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of sentences, the factors of their terms and the sums of these."""
+        v = self.v[slots]
+        total = _sums(v, starts)
+        return self.b + _sums(self.w[slots], starts) + 0.5 * ((total**2).sum(1) - _sums((v**2).sum(1), starts)), v, total
 
-    def document_scores(self, bags: Bags) -> np.ndarray:
-        """Highest sentence score of each document; -inf for one without sentences."""
-        out = np.full(bags.documents, -np.inf, np.float32)
-        np.maximum.at(out, bags.doc, self.sentence_scores(bags))
+    def document_scores(self, s: Sentences) -> np.ndarray:
+        """Highest sentence score of each document; -inf for one without sentences.
+
+        Weights and factors are summed once a distinct word, then by sentence.
+        """
+        out = np.full(s.documents, -np.inf, np.float32)
+        if len(s.words):
+            v = self.v[s.slots]
+            w, total, own = _sums(self.w[s.slots], s.cuts[:-1]), _sums(v, s.cuts[:-1]), _sums((v**2).sum(1), s.cuts[:-1])
+            of = _sums(np.column_stack([w - 0.5 * own, total])[s.words], s.offsets[:-1])
+            np.maximum.at(out, s.doc, self.b + of[:, 0] + 0.5 * (of[:, 1:] ** 2).sum(1))
         return out
 
-    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 14, rate: float = 0.06, decay: float = 2e-4, batch: int = 128, seed: int = 7, least: int = LEAST, trust: float = 0.5, pull: float = 4.0, seeds: np.ndarray | None = None, prior: float = 2.5) -> FactorizationMachine:
+    def fit(self, bags: Bags, y: np.ndarray, rounds: int = 12, rate: float = 0.05, factor_rate: float = 0.1, decay: float = 0.01, factor_decay: float = 0.03, batch: int = 32, seed: int = 7, least: int = LEAST, wrong: float = WRONG, prior: float = 1.0) -> FactorizationMachine:
         """Learns from documents with labels in [0, 1].
 
-        Terms in fewer than ``least`` documents are left at 0.  Weights start at
-        shrunken log odds (``pull`` is the prior count) and move by adaptive
-        gradient steps; ``seeds`` are slots that start ``prior`` higher.  After a few rounds a label counts with ``trust`` and the
-        model's own view with the rest, as some judgements are wrong.
+        A document is abusive if any of its sentences is (noisy-or), and a label
+        is wrong with chance ``wrong``; each step takes the chance of every
+        sentence to be the abusive one, given the label, as what to learn.  Terms
+        in fewer than ``least`` documents are left at 0.  Weights start at shrunken
+        log odds (``prior`` is the prior count), are drawn back to them by
+        ``decay``, and move by adaptive gradient steps together with the factors.
         """
         rng = np.random.default_rng(seed)
         has = np.unique(bags.doc)
@@ -73,59 +90,45 @@ class FactorizationMachine:
             self.b = np.float32(-4 if not len(has) or not (y[has] > 0.5).any() else 4)
             self.v[:] = 0
             return self
-        size = len(self.w)
-        lengths = np.diff(bags.offsets)
-        pair = np.unique(np.repeat(bags.doc, lengths).astype(np.int64) * size + bags.slots)
+        size, lengths, y = len(self.w), np.diff(bags.offsets), y[has].astype(np.float64)
+        first = np.searchsorted(bags.doc, has)
+        count = np.diff(np.append(first, len(bags.doc)))
+        pair = np.unique(np.repeat(np.repeat(np.arange(len(has)), count), lengths) * size + bags.slots)
         pair_doc, pair_slot = pair // size, pair % size
-        in_pos = np.bincount(pair_slot, y[pair_doc], size)
-        in_any = np.bincount(pair_slot, minlength=size)
+        in_pos, in_any = np.bincount(pair_slot, y[pair_doc], size), np.bincount(pair_slot, minlength=size)
         used = in_any >= least
-        n_pos, n_any = y[has].sum(), len(has)
-        odds = np.log((in_pos + 0.5) / (n_pos + 1)) - np.log((in_any - in_pos + 2.0) / (n_any - n_pos + 4))
-        start = np.where(used, np.clip(odds, -1.5, 2.5) * in_any / (in_any + pull), 0)
-        self.w[:] = 0.35 * start
-        if seeds is not None:
-            self.w[seeds] += prior
+        odds = np.log((in_pos + 0.5) / (y.sum() + 1)) - np.log((in_any - in_pos + 2.0) / (len(has) - y.sum() + 4))
+        start = np.where(used, 0.9 * np.clip(odds, -1.5, 2.5) * in_any / (in_any + prior), 0).astype(np.float32)
+        self.w[:], self.b = start, np.float32(-2.5)
         self.v[~used] = 0
-        self.b = np.float32(-1.5)
-        gw, gv, gb = np.full(size, 0.1, np.float32), np.full(size, 0.1, np.float32), 1.0
-        target = y.astype(np.float64).copy()
-        first = np.concatenate([[0], np.flatnonzero(np.diff(bags.doc)) + 1])
-        count = np.diff(np.concatenate([first, [len(bags.doc)]]))
+        moved_w, moved_v, moved_b = np.full(size, 0.1, np.float32), np.full(size, 0.1, np.float32), 1.0
         for turn in range(rounds):
-            score = self.sentence_scores(bags)
-            order = np.lexsort((score, bags.doc))
-            top = order[first + count - 1]  # the highest sentence of each document in ``has``
-            other = order[first + (rng.random(len(first)) * count).astype(np.int64)]
-            if turn >= 4:  # labels that the rest of the data contradicts lose weight
-                p = 1 / (1 + np.exp(-score[top]))
-                target[has] = trust * y[has] + (1 - trust) * p
-            chosen, goal = top, target[has]
-            calm = (y[has] <= 0.5) & (other != top)
-            chosen, goal = np.concatenate([chosen, other[calm]]), np.concatenate([goal, goal[calm]])
-            for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // batch)):
-                rows = chosen[part]
-                n = lengths[rows]
-                index = np.repeat(bags.offsets[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                slots = bags.slots[index]
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                keep = used[slots].astype(np.float32)
-                v = self.v[slots]
-                total = np.add.reduceat(v, starts, axis=0)
-                s = self.b + np.add.reduceat(self.w[slots], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
-                err = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - goal[part]).astype(np.float32)
-                each = np.repeat(err, n) * keep
-                uniq, inv = np.unique(slots, return_inverse=True)
-                dw = np.bincount(inv, each, len(uniq)).astype(np.float32) / len(part) * 16 + decay * self.w[uniq]
-                grad = each[:, None] * (np.repeat(total, n, axis=0) - v)
-                dv = np.stack([np.bincount(inv, grad[:, f], len(uniq)) for f in range(v.shape[1])], 1).astype(np.float32) / len(part) * 16 + 5 * decay * self.v[uniq]
-                gw[uniq] += dw**2
-                gv[uniq] += (dv**2).mean(1)
-                self.w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-                self.v[uniq] -= 0.5 * rate * dv / np.sqrt(gv[uniq])[:, None]
-                db = float(err.mean())
-                gb += db**2
-                self.b = np.float32(self.b - rate * db / np.sqrt(gb))
+            doubt = wrong if turn >= 2 else 0.0
+            for part in np.array_split(rng.permutation(len(has)), max(1, len(has) // batch)):
+                sentences = spans(first[part], count[part])
+                n = lengths[sentences]
+                slots = bags.slots[spans(bags.offsets[sentences], n)]
+                score, v, total = self._raw(slots, np.cumsum(n) - n)
+                p = _chance(score.astype(np.float64))
+                whole = 1 - np.exp(_sums(np.log1p(-np.minimum(p, 1 - 1e-9)), np.cumsum(count[part]) - count[part]))
+                whole = np.clip(whole, 1e-6, 1 - 1e-6)
+                told = whole * (1 - doubt) / (whole * (1 - doubt) + (1 - whole) * doubt)
+                untold = whole * doubt / (whole * doubt + (1 - whole) * (1 - doubt))
+                toxic = y[part] * told + (1 - y[part]) * untold
+                err = (p - np.minimum(np.repeat(toxic / whole, count[part]) * p, 1)).astype(np.float32)
+                each = np.repeat(err, n) * used[slots]
+                pull = each[:, None] * (np.repeat(total, n, axis=0) - v)
+                touched, at = np.unique(slots, return_inverse=True)
+                dw = np.bincount(at, each, len(touched)).astype(np.float32) * (16 / len(part)) + decay * (self.w[touched] - start[touched])
+                dv = np.column_stack([np.bincount(at, pull[:, f], len(touched)) for f in range(v.shape[1])]).astype(np.float32) * (16 / len(part)) if v.shape[1] else np.zeros((len(touched), 0), np.float32)
+                dv += factor_decay * self.v[touched]
+                db = float(err.sum()) / len(part)
+                moved_w[touched] += dw**2
+                moved_v[touched] += (dv**2).mean(1) if v.shape[1] else 0
+                moved_b += db**2
+                self.w[touched] -= rate * dw / np.sqrt(moved_w[touched])
+                self.v[touched] -= factor_rate * dv / np.sqrt(moved_v[touched])[:, None]
+                self.b = np.float32(self.b - rate * db / np.sqrt(moved_b))
         return self
 
 
@@ -154,9 +157,8 @@ class ToxicityModel:
             hasher, machine = TermHasher(bits), shared.value
             for batch in batches:
                 for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                    bags = Bags([hasher.document(t) for t in part.column("text").to_pylist()])
-                    logits = machine.document_scores(bags).astype(np.float64)
-                    scores = np.where(np.isinf(logits), 0.0, 1 / (1 + np.exp(-np.clip(logits, -30, 30))))
+                    logits = machine.document_scores(hasher.batch(part.column("text").to_pylist())).astype(np.float64)
+                    scores = np.where(np.isinf(logits), 0.0, _chance(logits))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(x) for x in extra), pa.array(scores)], ["doc_id", *extra, "score"])
 
         out = slim.mapInArrow(run, schema)
@@ -164,40 +166,50 @@ class ToxicityModel:
 
 
 def labelled_bags(documents: DataFrame, labels: DataFrame, bits: int, most: int, longest: int) -> tuple[Bags, np.ndarray]:
-    """Hashed sentences and mean judgements of at most ``most`` labelled documents, chosen by the hash of their id."""
+    """Hashed sentences and mean judgements of at most ``most`` labelled documents of at most ``longest`` characters.
+
+    Of the first 2 ``most`` judged ids in the order of their hash, the first
+    ``most`` with such a text are taken; ids whose text is missing, null or too
+    long make room for others.
+    """
     votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg((F.col("toxic") > 0).cast("double")).alias("y"))
-    few = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # At most ``most`` rows of two numbers, so texts needn't be shuffled.
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(few), "doc_id")
+    fit = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
+    order = F.xxhash64("doc_id")
+    # Twice ``most`` rows of two numbers, so texts needn't be shuffled; which of them have a text is seen then.
+    few = votes.orderBy(order, "doc_id").limit(2 * most)
+    texts = fit.join(F.broadcast(few), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TermHasher(bits)
         for batch in batches:
-            terms = [[s.tolist() for s in hasher.document(t)] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(terms, pa.list_(pa.list_(pa.int32())))], ["doc_id", "y", "terms"])
-
-    found = texts.mapInArrow(run, "doc_id bigint, y double, terms array<array<int>>").toArrow().sort_by("doc_id")
-    documents_of = []
-    for terms in found.column("terms").chunks:
-        inner = terms.values
-        flat, cuts, outer = inner.values.to_numpy(zero_copy_only=False).astype(np.int32), inner.offsets.to_numpy(), terms.offsets.to_numpy()
-        documents_of += [[flat[cuts[j] : cuts[j + 1]] for j in range(outer[i], outer[i + 1])] for i in range(len(terms))]
-    return Bags(documents_of), found.column("y").to_numpy()
-
-
-def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, longest: int = 50_000, bits: int = 18, seed: int = 7) -> ToxicityModel:
+            bags = Bags.of(hasher.batch(batch.column("text").to_pylist()))
+            sentences = pa.ListArray.from_arrays(pa.array(bags.offsets, pa.int32()), pa.array(bags.slots))
+            cuts = np.searchsorted(bags.doc, np.arange(bags.documents + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), sentences)], ["doc_id", "y", "terms"])
+
+    chosen = texts.mapInArrow(run, "doc_id bigint, y double, terms array<array<int>>").orderBy(order, "doc_id").limit(most)
+    found = chosen.toArrow().combine_chunks()
+    column = found.column("terms")
+    terms = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    inner = terms.flatten()
+    slots, sizes = inner.flatten().to_numpy(zero_copy_only=False), inner.value_lengths().to_numpy(zero_copy_only=False)
+    counts = terms.value_lengths().to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return Bags(slots.astype(np.int32), offsets, np.repeat(np.arange(len(counts)), counts), len(counts)), found.column("y").to_numpy()
+
+
+def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, longest: int = LONGEST, bits: int = 18, seed: int = 7) -> ToxicityModel:
     """Fits a model on judged documents (``doc_id``, ``toxic``), joined to ``documents`` (``doc_id``, ``text``).
 
     At most ``most`` judged documents of at most ``longest`` characters are
-    gathered, a bound on the driver's memory whatever the corpus; judgements that
-    are null or of missing documents don't count, repeated ones are averaged.
-    A short list of seed words gives the model its start, so that few judgements
-    suffice for plain abuse; training moves their weights like all others.
-    Without judgements of both kinds the model calls every document clean (or,
-    with abusive ones only, every document abusive).
+    gathered as numbers, a bound on the driver's memory whatever the corpus;
+    judgements that are null or of missing documents don't count, repeated ones
+    are averaged.  No word is known beforehand.  Without judgements of both kinds
+    the model calls every document clean (or, with abusive ones only, every
+    document abusive).
     """
     bags, y = labelled_bags(documents, labels, bits, most, longest)
-    return ToxicityModel(FactorizationMachine(1 << bits, seed=seed).fit(bags, y, seeds=TermHasher(bits).seeds()), bits)
+    return ToxicityModel(FactorizationMachine(1 << bits, seed=seed).fit(bags, y), bits)
 
 
 def rates(scored: DataFrame, group: str = "source") -> DataFrame:
