@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gristdex.llm.textforms import TermHasher, plain, word
 from gristdex.llm.toxicity import Bags, FactorizationMachine, labelled_bags, rates, train
@@ -124,8 +125,10 @@ def test_labelled_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(2, 1)], "doc_id BIGINT, toxic INT")
     bags, y = labelled_bags(d, labels, 18, most=70, longest=100)
     assert bags.documents == len(y) == 60 and sorted(set(y)) == [0.0, 0.5, 1.0]
+    order = [r[0] for r in labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).collect()]
+    want = [i for i in order[:30] if i < 100 and i % 5 > 1][:15]
     bags, y = labelled_bags(d, labels, 18, most=15, longest=100)
-    assert bags.documents == len(y) == 15 and len(bags.doc) == 30
+    assert y.tolist() == [0.5 if i == 2 else i % 2 for i in want] and len(bags.doc) == 2 * len(want)
 
 
 def test_on_tables(spark):
