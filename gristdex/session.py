@@ -1,9 +1,10 @@
-"""Session helpers: table access, partition counts and the checkpoint folder."""
+"""Session helpers: table access, partition counts and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,16 +19,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a temporary folder is used.
+    Where that is unset, a temporary folder serves a session in one process
+    (``local[..]``), as in tests; on a cluster that is an error.
     """
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = wanted or os.path.join(tempfile.gettempdir(), "gristdex-checkpoints")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "gristdex-shared")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a table written to the shared folder: computed once, whatever reads it, and safe from lost executors.
+
+    The table is removed when the session's file system is closed, at the end of
+    the application at the latest.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gristdex-{uuid.uuid4().hex}"
+    # Marked on a file system of this user, as Spark's own writers use it.
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
