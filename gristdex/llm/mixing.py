@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristdex.llm.encode import token_counts
-from gristdex.session import ensure_checkpoint_dir
+from gristdex.session import shuffle_partitions, written
 
-#: Ranges of the random key in each source; one range is what a single sort holds.
-RANGE_BITS = 12
+#: Ranges of the random key in each source for each task of a shuffle; one range is what a single sort holds.
+RANGES_A_TASK = 4
 
 
 def targets_of(mix_targets: DataFrame) -> DataFrame:
@@ -33,14 +35,17 @@ class Mix:
     ``max_repeats`` times.  Where that caps a source, it stays below its budget.
 
     Documents of other sources or without a source aren't used; null and empty
-    texts have 0 tokens and may come with the copies they fall in; a target
-    without documents has size 0.  Empty tables give an empty mix.
-
-    Plan: tokens are counted in a narrow map, then one shuffle on (source, range
-    of a random key): the key is a hash, so a source that holds a third of the
-    rows is spread evenly over its ranges.  Its result is checkpointed, as every
-    further step starts there and texts should be tokenized once.  Totals by
-    range give distributed prefix sums; only within a range are rows sorted.
+    texts have 0 tokens and come with the copies they fall in, ``max_repeats``
+    times where their source has no tokens at all; a target without documents has
+    size 0.  Empty tables give an empty mix.
+
+    Plan: tokens are counted in a narrow map, whose result (ids and numbers) is
+    written to the shared folder, as every further step starts there and texts
+    should be tokenized once.  Then one shuffle on (source, range of a random
+    key): the key is a hash, so a source that holds a third of the rows is spread
+    evenly over its ranges, of which there are ``RANGES_A_TASK`` for each task of
+    a shuffle.  Totals by range give distributed prefix sums; only within a range
+    are rows sorted.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, seed: int = 17):
@@ -48,38 +53,48 @@ class Mix:
         docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
         docs = docs.join(self.targets.select("source"), "source", "left_semi")
         counted = token_counts(docs, "doc_id", "text", path, keep=("source",)).withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
-        ensure_checkpoint_dir(documents.sparkSession)
-        self.rows = counted.withColumn("range", F.shiftright("key", 64 - RANGE_BITS)).repartition("source", "range").checkpoint()
+        bits = max(1, math.ceil(math.log2(RANGES_A_TASK * shuffle_partitions(documents.sparkSession))))
+        self.rows = written(counted.withColumn("range", F.shiftright("key", 64 - bits)))
         self.ranges = self.rows.groupBy("source", "range").agg(F.sum("tokens").alias("tokens"))
 
     def plan(self) -> DataFrame:
-        """One row a target source: weight, max_repeats, size, whole, budget, epochs, rest, capped."""
+        """One row a target source: weight, max_repeats, size, whole, budget, epochs, rest."""
         sizes = self.ranges.groupBy("source").agg(F.sum("tokens").alias("size"))
         sized = self.targets.join(sizes, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
         # As many rows as targets, whatever the corpus: one window holds them.
         all_of = Window.partitionBy(F.lit(0))
         budget = F.sum("size").over(all_of) * F.col("weight") / F.sum("weight").over(all_of)
-        full = F.when(F.col("size") > 0, F.least(F.floor(F.col("budget") / F.col("size")), F.col("max_repeats"))).otherwise(F.lit(0)).cast("bigint")
+        full = F.when(F.col("size") > 0, F.least(F.floor(F.col("budget") / F.col("size")), F.col("max_repeats"))).otherwise(F.col("max_repeats")).cast("bigint")
         rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("size")).otherwise(F.lit(0.0))
-        out = sized.withColumn("whole", F.sum("size").over(all_of)).withColumn("budget", budget).withColumn("epochs", full).withColumn("rest", rest)
-        return out.withColumn("capped", F.col("size") * F.col("max_repeats") < F.col("budget"))
+        return sized.withColumn("whole", F.sum("size").over(all_of)).withColumn("budget", budget).withColumn("epochs", full).withColumn("rest", rest)
 
-    def records(self) -> DataFrame:
-        """(doc_id, source, tokens, repeats) of every record in the mix, ``repeats`` at least 1."""
+    def placed(self) -> DataFrame:
+        """(doc_id, source, tokens, repeats, unused) of every record of the target sources, ``repeats`` at least 0 and ``unused`` how many more it might come."""
         order = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         before = self.ranges.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
         cuts = before.join(self.plan().select("source", "max_repeats", "epochs", "rest"), "source").select("source", "range", "before", "max_repeats", "epochs", "rest")
         within = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = self.rows.withColumn("running", F.sum("tokens").over(within)).join(cuts, ["source", "range"])
+        running = self.rows.withColumn("running", F.sum("tokens").over(within)).join(cuts, ["source", "range"])
         # The rest of a capped source is 0, which records without tokens would still fit into.
         more = ((F.col("epochs") < F.col("max_repeats")) & (F.col("before") + F.col("running") <= F.col("rest"))).cast("bigint")
-        return placed.withColumn("repeats", F.col("epochs") + more).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+        repeats = F.col("epochs") + more
+        return running.select("doc_id", "source", "tokens", repeats.alias("repeats"), (F.col("max_repeats") - repeats).alias("unused"))
+
+    def records(self) -> DataFrame:
+        """(doc_id, source, tokens, repeats) of every record in the mix, ``repeats`` at least 1."""
+        return self.placed().where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
     def report(self) -> DataFrame:
-        """The plan with ``actual_tokens``, ``records``, ``target_share`` and ``actual_share`` of each source."""
-        got = self.records().groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("actual_tokens"), F.count(F.lit(1)).alias("records"))
+        """The plan with ``actual_tokens``, ``records``, ``target_share``, ``actual_share`` and ``capped`` of each source.
+
+        ``capped`` is read off the mix: no record might come more often, and yet
+        the tokens stay below the budget.
+        """
+        used = F.sum(F.col("tokens") * F.col("repeats")).alias("actual_tokens")
+        got = self.placed().groupBy("source").agg(used, F.count_if(F.col("repeats") > 0).alias("records"), F.max("unused").alias("unused"))
         all_of = Window.partitionBy(F.lit(0))
         out = self.plan().join(got, "source", "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0))).withColumn("records", F.coalesce("records", F.lit(0)))
         out = out.withColumn("target_share", F.col("weight") / F.sum("weight").over(all_of))
+        out = out.withColumn("capped", (F.coalesce("unused", F.lit(0)) == 0) & (F.col("actual_tokens") < F.col("budget")))
         total = F.sum("actual_tokens").over(all_of)
-        return out.withColumn("actual_share", F.when(total > 0, F.col("actual_tokens") / total).otherwise(F.lit(0.0))).drop("rest", "whole")
+        return out.withColumn("actual_share", F.when(total > 0, F.col("actual_tokens") / total).otherwise(F.lit(0.0))).drop("rest", "whole", "unused")

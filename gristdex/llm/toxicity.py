@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristdex.llm.encode import portions
 from gristdex.llm.textforms import Sentences, TermHasher, spans
 
 #: Labelled documents that a model is fitted on, at most; a larger table is sampled by the hash of the id.
@@ -17,6 +18,8 @@ MAX_LABELLED = 20_000
 LONGEST = 20_000
 #: Judged documents that a term must be in to be learned, whatever their number.
 LEAST = 2
+#: Code points that are hashed at once; a longer text is on its own.
+PORTION = 1 << 19
 #: Share of judgements taken to be wrong.
 WRONG = 0.07
 
@@ -155,11 +158,10 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, machine = TermHasher(bits), shared.value
-            for batch in batches:
-                for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                    logits = machine.document_scores(hasher.batch(part.column("text").to_pylist())).astype(np.float64)
-                    scores = np.where(np.isinf(logits), 0.0, _chance(logits))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(x) for x in extra), pa.array(scores)], ["doc_id", *extra, "score"])
+            for part, texts in (x for b in batches for x in portions(b, PORTION)):
+                logits = machine.document_scores(hasher.batch(texts)).astype(np.float64)
+                scores = np.where(np.isinf(logits), 0.0, _chance(logits))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(x) for x in extra), pa.array(scores)], ["doc_id", *extra, "score"])
 
         out = slim.mapInArrow(run, schema)
         return out.select("doc_id", "score", (F.col("score") > 0.5).alias("flagged"), *(F.col(x).alias(c) for c, x in zip(keep, extra)))
@@ -181,8 +183,8 @@ def labelled_bags(documents: DataFrame, labels: DataFrame, bits: int, most: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TermHasher(bits)
-        for batch in batches:
-            bags = Bags.of(hasher.batch(batch.column("text").to_pylist()))
+        for batch, some in (x for b in batches for x in portions(b, PORTION)):
+            bags = Bags.of(hasher.batch(some))
             sentences = pa.ListArray.from_arrays(pa.array(bags.offsets, pa.int32()), pa.array(bags.slots))
             cuts = np.searchsorted(bags.doc, np.arange(bags.documents + 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), sentences)], ["doc_id", "y", "terms"])

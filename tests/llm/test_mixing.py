@@ -32,11 +32,16 @@ def test_plan(mix):
     repeats = {"big": 3, "small": 4, "blank": 2, "gone": 2}
     for s, r in rows.items():
         assert r["size"] == size[s] and r["whole"] == whole and r["budget"] == pytest.approx(whole * weight[s])
-        assert r["capped"] == (size[s] * repeats[s] < r["budget"])
+    assert {r["source"]: r["capped"] for r in mix.report().collect()} == {s: size[s] * repeats[s] < whole * weight[s] for s in weight}
+
+
+def test_capped_sources_come_through_the_cut(mix):
+    plan = mix.report().where("capped").select("source")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(tokens" in plan and "windowspecdefinition(source" in plan and "key" in plan and "running" in plan
 
 
 def test_records_are_cut_at_the_budget(mix):
-    size, plan = sizes(), {r["source"]: r for r in mix.plan().collect()}
+    size, plan = sizes(), {r["source"]: r for r in mix.report().collect()}
     got = mix.records().collect()
     assert len({r["doc_id"] for r in got}) == len(got)
     for s in ("big", "small"):
