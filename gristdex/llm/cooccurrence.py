@@ -20,29 +20,35 @@ def co_occurrences(df: DataFrame, item: str, record: str, min_count: int = 1, mi
     that frequent (at most mean basket size / min_share).  Null items or records
     are left out, repeated rows count once, an empty table gives no row.
 
-    Plan: distinct (record, item), spread over both; frequent items by an
+    Plan: rows are read once.  Distinct (record, item), spread over both, from
+    which items, baskets and the number of records come; frequent items by an
     equi-join (the engine broadcasts the item side only if its measured size
     allows); one array a record; equal arrays collapse into one weighted basket;
-    each distinct basket unrolls its pairs once, item by item, and weights are
-    summed map-side first.
+    each distinct basket unrolls its pairs once, each item with those behind it,
+    and weights are summed map-side first.
     """
     members = df.select(F.col(record).alias("rec"), F.col(item).cast("string").alias("name")).where("rec IS NOT NULL AND name IS NOT NULL").distinct()
     names = dictionary(members)
-    n = members.select("rec").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    # With the items counted too, the number of records is read off the shuffle of the members.
+    held = members.groupBy("rec").agg(F.count("name").alias("items"))
+    whole = held.agg(F.count(F.lit(1)).alias("n"), F.sum("items").alias("items")).select(F.struct("n", "items").alias("whole")).scalar()
 
+    def with_n(df: DataFrame, size: str) -> DataFrame:
+        return df.withColumn("whole", whole).where(F.col(size) <= F.col("whole.items")).withColumn("n", F.col("whole.n")).drop("whole")
 
     def enough(count: str) -> Column:
         return (F.col(count) >= min_count) & (F.col(count) / F.col("n") >= min_share)
 
     coded = members.select("rec", code("name").alias("c"))
     if min_count > 1 or min_share > 0:
-        frequent = names.withColumn("n", n).where(enough("size")).select(F.col("code").alias("c"))
+        frequent = with_n(names, "size").where(enough("size")).select(F.col("code").alias("c"))
         coded = coded.join(frequent, "c")
-    baskets = coded.groupBy("rec").agg(F.array_sort(F.collect_set("c")).alias("basket")).where(F.size("basket") > 1)
+    baskets = coded.groupBy("rec").agg(F.array_sort(F.collect_list("c")).alias("basket")).where(F.size("basket") > 1)
     weighted = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("weight"))
-    heads = weighted.select(F.posexplode("basket").alias("i", "a"), "basket", "weight").where(F.col("i") < F.size("basket") - 1)
-    pairs = heads.select("a", F.explode(F.slice("basket", F.col("i") + 2, F.size("basket"))).alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("together"))
-    scored = name_pairs(pairs, names).withColumn("n", n).where(enough("together"))
+    tails = F.transform(F.sequence(F.lit(1), F.size("basket") - 1), lambda i: F.slice("basket", i, F.size("basket")))
+    heads = weighted.select(F.explode(tails).alias("tail"), "weight")
+    pairs = heads.select(F.get("tail", F.lit(0)).alias("a"), F.explode(F.slice("tail", F.lit(2), F.size("tail"))).alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("together"))
+    scored = with_n(name_pairs(pairs, names), "together").where(enough("together"))
     a, b, c, whole = (F.col(x).cast("double") for x in ("size_a", "size_b", "together", "n"))
     return scored.select("keyword_a", "keyword_b", "size_a", "size_b", "n", "together", (c * whole / (a * b)).alias("lift"), F.when(c < a, (1 - b / whole) / (1 - c / a)).alias("conviction"))
 

@@ -35,18 +35,21 @@ def log_entropy(df: DataFrame, term: str, record: str, occurrence: str) -> DataF
     Rows with null term or record are left out; repeated (term, record,
     occurrence) count once; an empty table gives no row; other columns aren't read.
 
-    Plan: two aggregations, (term, rec) -> tf and term -> entropy, with map-side
-    combining; the record totals are a third small one.  Joins are equi-joins on
-    the record, then the term; the adaptive skew join splits hot ones.
+    Plan: rows are read once.  Two aggregations, (term, rec) -> tf and term ->
+    entropy, with map-side combining; the record totals are a third small one,
+    whose shuffle N is read off too, as it uses the same columns.  Joins are
+    equi-joins on the record, then the term; the adaptive skew join splits hot ones.
     """
     tf = local_frequencies(df, term, record, occurrence)
     totals = tf.groupBy("rec").agg(F.sum("tf").alias("rec_total"))
-    n_docs = totals.agg(F.count(F.lit(1)).alias("n")).scalar()
+    whole = totals.agg(F.count(F.lit(1)).alias("n"), F.sum("rec_total").alias("occurrences")).select(F.struct("n", "occurrences").alias("whole")).scalar()
     spread = tf.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log(F.col("tf").cast("double"))).alias("s"))
     entropy = F.log(F.col("gf").cast("double")) - F.col("s") / F.col("gf")
-    whole = F.when(F.col("n_docs") > 1, 1 - entropy / F.log(F.col("n_docs").cast("double"))).otherwise(F.lit(1.0))
-    terms = spread.withColumn("n_docs", n_docs).select("term", "docs", "n_docs", F.least(F.greatest(whole, F.lit(0.0)), F.lit(1.0)).alias("global_weight"))
-    joined = tf.join(totals, "rec").join(terms, "term")
+    rest = F.when(F.col("n_docs") > 1, 1 - entropy / F.log(F.col("n_docs").cast("double"))).otherwise(F.lit(1.0))
+    # No term occurs more often than all terms do, here and in a record; that keeps the sums, without which N would be read off another shuffle.
+    sized = spread.withColumn("whole", whole).where("gf <= whole.occurrences").withColumn("n_docs", F.col("whole.n"))
+    terms = sized.select("term", "docs", "n_docs", F.least(F.greatest(rest, F.lit(0.0)), F.lit(1.0)).alias("global_weight"))
+    joined = tf.join(totals, "rec").where("tf <= rec_total").join(terms, "term")
     return joined.select("rec", "term", "tf", "rec_total", "docs", "n_docs", "global_weight", (F.log1p(F.col("tf").cast("double")) * F.col("global_weight")).alias("weight"))
 
 
