@@ -16,10 +16,8 @@ KEYED = {"postings": "keyword", "time_series": "key"}
 
 
 def _heavy(spark: SparkSession, d: str, name: str, share: float = 0.02) -> DataFrame:
-    df = table(spark, d, name)
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counted = per_key(df, KEYED[name], share=share / 2)
-    return counted.where(F.col("n_rows") / rows >= share).select(F.lit(name).alias("ref_table"), "key")
+    counted = per_key(table(spark, d, name), KEYED[name], share=share / 2)
+    return counted.where(F.col("row_share") >= share).select(F.lit(name).alias("ref_table"), "key")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

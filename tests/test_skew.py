@@ -28,7 +28,9 @@ def test_counts_are_exact(df):
     for k, r in got.items():
         v = values[k]
         assert (r["value_min"], r["value_max"], r["value_sum"]) == ((min(v), max(v), sum(v)) if v else (None, None, None))
-    assert {r["key"]: r["n_rows"] for r in per_key(df, "keyword").collect()} == dict(rows)
+    plain = per_key(df, "keyword").collect()
+    assert {r["key"]: r["n_rows"] for r in plain} == dict(rows)
+    assert {r["key"]: r["row_share"] for r in plain} == {k: n / len(ROWS) for k, n in rows.items()}
 
 
 def test_heavy_keys_are_found_and_split_off(df):
@@ -48,6 +50,10 @@ def test_join(spark, df):
     assert left.count() == len(ROWS) and left.where("tag IS NULL").count() == len(ROWS) - 601
     with pytest.raises(ValueError):
         skew_join(df, right, "keyword", 0.1, "outer")
+    light_twice = right.unionByName(right.where("keyword = 'k5'"))
+    assert skew_join(df.select("keyword", "doc"), light_twice, "keyword", 0.1).count() == 602
+    with pytest.raises(Exception, match="duplicate key hot"):
+        skew_join(df.select("keyword", "doc"), right.unionByName(right), "keyword", 0.1).collect()
 
 
 def test_empty(spark):
