@@ -11,11 +11,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ALWAYS, FOREVER = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-MISSES = "ref_table string, ref string, at long, n_rows long"
+from gristdex.operators.skew import marked, weighed
+from gristdex.session import shuffle_partitions
+
+#: ``NEVER`` lies before the start of every interval, ``ALWAYS`` is the start of those without one.
+NEVER, ALWAYS, FOREVER = -(1 << 63), 1 - (1 << 63), (1 << 63) - 1
+
+
+class Keys:
+    """The distinct keys of one range in order, and the places of others among them."""
+
+    def __init__(self, keys: pa.Array):
+        self.text = pa.types.is_string(keys.type)
+        distinct = keys.unique()
+        self.sorted = distinct.take(pc.sort_indices(distinct)) if self.text else np.sort(distinct.to_numpy(zero_copy_only=False))
+
+    def places(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the key is there) of each key; text is looked up by Arrow, bytewise."""
+        if self.text:
+            found = pc.fill_null(pc.index_in(keys, value_set=self.sorted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            return found, found >= 0
+        wanted = keys.to_numpy(zero_copy_only=False)
+        found = np.searchsorted(self.sorted, wanted)
+        known = found < len(self.sorted)
+        known[known] = self.sorted[found[known]] == wanted[known]
+        return found, known
 
 
 class ParentRange:
@@ -25,24 +49,21 @@ class ParentRange:
     among its intervals starting at or before ``t`` must lie after ``t``.
     """
 
-    def __init__(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.keys, code = np.unique(keys, return_inverse=True) if len(keys) else (keys, np.zeros(0, np.int64))
+    def __init__(self, keys: pa.Array, starts: np.ndarray, ends: np.ndarray):
+        self.keys = Keys(keys)
+        code = self.keys.places(keys)[0]
         self.starts, rank = np.unique(starts, return_inverse=True)
         self.width = len(self.starts) + 1
-        place = code.astype(np.int64) * self.width + rank + 1
+        place = code * self.width + rank + 1
         order = np.argsort(place, kind="stable")
-        self.place, self.code, ends = place[order], code[order], ends[order]
-        self.ends = _running_max(ends, self.code)
+        self.place, self.code = place[order], code[order]
+        self.ends = _running_max(ends[order], self.code)
 
-    def alive(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def alive(self, keys: pa.Array, at: np.ndarray) -> np.ndarray:
         """For each reference whether its key is held by a parent at that instant."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        code = np.searchsorted(self.keys, keys)
-        known = code < len(self.keys)
-        known[known] = self.keys[code[known]] == keys[known]
+        code, known = self.keys.places(keys)
         at_rank = np.searchsorted(self.starts, at, side="right")
-        i = np.searchsorted(self.place, code.astype(np.int64) * self.width + at_rank, side="right") - 1
+        i = np.searchsorted(self.place, code * self.width + at_rank, side="right") - 1
         ok = known & (i >= 0)
         j = i[ok]
         ok[ok] = (self.code[j] == code[ok]) & (self.ends[j] > at[ok])
@@ -54,36 +75,55 @@ def _running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     if not len(values):
         return values
     distinct, rank = np.unique(values, return_inverse=True)
-    lifted = np.maximum.accumulate(group.astype(np.int64) * len(distinct) + rank)
-    return distinct[lifted - group.astype(np.int64) * len(distinct)]
+    lifted = np.maximum.accumulate(group * len(distinct) + rank)
+    return distinct[lifted - group * len(distinct)]
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads a partition sorted by (kind, ref_table), parents first, and yields the references that miss."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Reads a partition, parents first, and yields the references that miss."""
+    held: list[pa.RecordBatch] = []
     parents: ParentRange | None = None
+    for batch in batches:
+        is_ref = batch.column("is_ref")
+        if not is_ref.false_count:
+            refs = batch
+        else:
+            held.append(batch.filter(pc.invert(is_ref)))
+            refs = batch.filter(is_ref)
+        if not refs.num_rows:
+            continue
+        if parents is None:
+            olds = pa.Table.from_batches(held, batch.schema).combine_chunks()
+            column = lambda name: pa.concat_arrays(olds.column(name).chunks) if olds.num_rows else pa.array([], batch.schema.field(name).type)
+            parents, held = ParentRange(column("k"), *(column(c).to_numpy(zero_copy_only=False) for c in ("at", "x"))), []
+        miss = ~parents.alive(refs.column("k"), refs.column("at").to_numpy(zero_copy_only=False))
+        if miss.any():
+            yield refs.filter(pa.array(miss)).select(["k", "at", "x"])
+
+
+def ranged(references: DataFrame, ref: str, at: str, parents: DataFrame, parent_key: str, added: str, removed: str, partitions: int) -> DataFrame:
+    """References (counted per key and time) and parents in ranges of the key, parents first: ``k``, ``at``, ``x``, ``is_ref``.
+
+    ``x`` is the number of a reference's rows, or the end of a parent's interval
+    that starts at ``at``.  A key with more times than a range should hold is
+    split into as many pieces as there are ranges, by the hash of the time; its
+    parents are copied into each.
+    """
+    key_type = "string" if dict(references.dtypes)[ref] == "string" else "bigint"
 
-    def column(batch: pa.RecordBatch, mask: np.ndarray) -> np.ndarray:
-        number, text = batch.column("num"), batch.column("txt")
-        if text.null_count == len(text):
-            return number.to_numpy(zero_copy_only=False)[mask]
-        return text.to_numpy(zero_copy_only=False)[mask]
+    def micros(column: str, missing: int, name: str) -> Column:
+        return F.coalesce(F.unix_micros(F.col(column).cast("timestamp")), F.lit(missing)).alias(name)
 
-    for batch in batches:
-        is_ref = batch.column("is_ref").to_numpy(zero_copy_only=False).astype(bool)
-        at = batch.column("at").to_numpy(zero_copy_only=False)
-        until = batch.column("until").to_numpy(zero_copy_only=False)
-        if not is_ref.all():
-            mask = ~is_ref
-            held.append((column(batch, mask), at[mask], until[mask]))
-        if is_ref.any():
-            if parents is None:
-                parents = ParentRange(*(np.concatenate(x) for x in zip(*held))) if held else ParentRange(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-                held = []
-            mask = is_ref.copy()
-            mask[is_ref] = ~parents.alive(column(batch, is_ref), at[is_ref])
-            if mask.any():
-                yield batch.filter(pa.array(mask)).select(["ref_table", "num", "txt", "at", "n_rows"])
+    refs = references.select(F.col(ref).cast(key_type).alias("k"), micros(at, NEVER, "at")).where("k IS NOT NULL").groupBy("k", "at").agg(F.count(F.lit(1)).alias("n_rows"))
+    # With the rows summed too, the sketch is taken of the same shuffle.
+    seen = weighed(refs, "k", 1 / partitions, F.sum("n_rows").alias("rows"))
+    heavy = marked(refs, "k", seen).withColumn("piece", F.when(F.col("heavy"), F.pmod(F.xxhash64("at"), F.lit(partitions))).otherwise(F.lit(0)))
+    refs = heavy.select("k", "piece", "at", F.col("n_rows").alias("x"), F.lit(True).alias("is_ref"))
+    olds = parents.select(F.col(parent_key).cast(key_type).alias("k"), micros(added, ALWAYS, "at"), micros(removed, FOREVER, "x")).where("k IS NOT NULL").distinct()
+    pieces = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(partitions - 1))).otherwise(F.array(F.lit(0)))
+    olds = marked(olds, "k", seen).select("k", F.explode(pieces).alias("piece"), "at", "x", F.lit(False).alias("is_ref"))
+    both = olds.unionByName(refs.select("k", F.col("piece").cast("int").alias("piece"), "at", "x", "is_ref"))
+    return both.repartitionByRange(partitions, "k", "piece").drop("piece").sortWithinPartitions("is_ref")
 
 
 def orphans(references: DataFrame, ref: str, at: str, parents: DataFrame, parent_key: str, added: str, removed: str, ref_table: str, partitions: int | None = None) -> DataFrame:
@@ -99,26 +139,16 @@ def orphans(references: DataFrame, ref: str, at: str, parents: DataFrame, parent
     ``ref_table``, ``ref`` STRING, ``at`` TIMESTAMP, ``n_rows`` (repeated rows
     count).  An empty table of parents makes every reference an orphan.
 
-    Plan: references are first counted per (ref, time), which removes the
-    repetitions of hot keys map-side; then one range shuffle.  A task holds the
-    parents of its range only, never all of them.
+    Plan: both tables are read once.  References are first counted per (ref,
+    time), which removes the repetitions of hot keys map-side; then one range
+    shuffle, in which hot keys are split.  A task holds the parents of its range
+    only, never all of them.
     """
-    text = dict(references.dtypes)[ref] == "string"
-    key_type = "string" if text else "bigint"
-    num, txt = ("CAST(NULL AS BIGINT)", "CAST(k AS STRING)") if text else ("CAST(k AS BIGINT)", "CAST(NULL AS STRING)")
-    micros = "unix_micros(CAST({} AS TIMESTAMP))"
-    refs = references.select(F.col(ref).alias("k"), F.expr(micros.format(f"`{at}`")).alias("at")).where("k IS NOT NULL").groupBy("k", "at").agg(F.count(F.lit(1)).alias("n_rows"))
-    # A null time sorts before every start, so it is alive nowhere, except under "always": told apart by until.
-    refs = refs.selectExpr("1 AS is_ref", f"{num} AS num", f"{txt} AS txt", "at", "CAST(0 AS BIGINT) AS until", "n_rows", "k")
-    nulls = refs.where("at IS NULL")
-    olds = parents.select(F.col(parent_key).cast(key_type).alias("k"), F.expr(micros.format(f"`{added}`")).alias("a"), F.expr(micros.format(f"`{removed}`")).alias("r")).where("k IS NOT NULL").distinct()
-    olds = olds.selectExpr("0 AS is_ref", f"{num} AS num", f"{txt} AS txt", f"coalesce(a, {ALWAYS + 1}L) AS at", f"coalesce(r, {FOREVER}L) AS until", "0L AS n_rows", "k")
-    both = olds.unionByName(refs.where("at IS NOT NULL"))
-    ranged = both.repartitionByRange(partitions, "k") if partitions else both.repartitionByRange("k")
-    ranged = ranged.drop("k").withColumn("ref_table", F.lit(ref_table)).sortWithinPartitions("is_ref")
-    missed = ranged.mapInArrow(_probe, "ref_table string, num bigint, txt string, at bigint, n_rows bigint")
-    missed = missed.unionByName(nulls.withColumn("ref_table", F.lit(ref_table)).select("ref_table", "num", "txt", "at", "n_rows"))
-    return missed.selectExpr("ref_table", "coalesce(txt, CAST(num AS STRING)) AS ref", "timestamp_micros(at) AS at", "n_rows")
+    key_type = "string" if dict(references.dtypes)[ref] == "string" else "bigint"
+    sides = ranged(references, ref, at, parents, parent_key, added, removed, partitions or shuffle_partitions(references.sparkSession))
+    missed = sides.mapInArrow(_probe, f"k {key_type}, at bigint, x bigint")
+    when = F.when(F.col("at") > NEVER, F.timestamp_micros("at"))
+    return missed.select(F.lit(ref_table).alias("ref_table"), F.col("k").cast("string").alias("ref"), when.alias("at"), F.col("x").alias("n_rows"))
 
 
 def orphan_report(missed: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from gristdex.operators.orphans import ParentRange, orphan_report, orphans
+from gristdex.operators.orphans import ParentRange, orphan_report, orphans, ranged
 
 T0 = datetime(2024, 1, 1)
 
@@ -58,13 +60,23 @@ def test_report(spark):
 
 
 def test_overlapping_and_touching_intervals():
-    p = ParentRange(np.array([5, 5, 5, 7]), np.array([0, 2, 10, 4]), np.array([9, 4, 12, 4]))
+    p = ParentRange(pa.array([5, 5, 5, 7]), np.array([0, 2, 10, 4]), np.array([9, 4, 12, 4]))
     times = np.arange(14)
-    assert p.alive(np.full(14, 5), times).tolist() == [t < 9 or 10 <= t < 12 for t in times]
-    assert not p.alive(np.full(14, 7), times).any() and not p.alive(np.full(14, 6), times).any()
+    assert p.alive(pa.array([5] * 14), times).tolist() == [t < 9 or 10 <= t < 12 for t in times]
+    assert not p.alive(pa.array([7] * 14), times).any() and not p.alive(pa.array([6] * 14), times).any()
 
 
-def test_one_shuffle_of_the_pair_and_no_broadcast(spark):
+def test_a_key_with_most_references_is_split(spark):
+    refs = spark.range(60_000).select(F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("ref"), F.timestamp_seconds("id").alias("at"))
+    olds = spark.createDataFrame([(7, None, T0), (7, None, T0), (13, None, None)], "ref BIGINT, added TIMESTAMP, removed TIMESTAMP")
+    sizes = sorted(r["count"] for r in ranged(refs, "ref", "at", olds, "ref", "added", "removed", 8).groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[4]
+    missed = orphans(refs, "ref", "at", olds, "ref", "added", "removed", "t", 8)
+    assert missed.count() == 6000 and missed.where("ref = 7").isEmpty()
+    assert orphans(refs, "ref", "at", olds.where("ref <> 7"), "ref", "added", "removed", "t", 8).count() == 60_000
+
+
+def test_rows_are_read_once(spark):
     found, _ = run(spark, [(1, 2)], [(1, None, None)], "BIGINT")
     plan = found._jdf.queryExecution().toString()
-    assert "rangepartitioning" in plan and "MapInArrow" in plan and "BroadcastExchange" not in plan and "CartesianProduct" not in plan
+    assert "rangepartitioning" in plan and "MapInArrow" in plan and "CartesianProduct" not in plan
