@@ -19,7 +19,7 @@ def _is_regex(rule: str) -> bool:
 
 
 def _column(rules: tuple[str, ...], keyword: Column) -> Column:
-    tests = [keyword.rlike(f"^(?:{r[1:-1]})$") if _is_regex(r) else keyword.startswith(r) for r in rules]
+    tests = [keyword.rlike(rf"\A(?:{r[1:-1]})\z") if _is_regex(r) else keyword.startswith(r) for r in rules]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

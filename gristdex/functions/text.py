@@ -31,11 +31,14 @@ def escape_tsv_column(column: Column) -> Column:
 
 
 def unescape_tsv_column(column: Column) -> Column:
-    """:func:`unescape_tsv` as a column expression: doubled backslashes are set aside first."""
-    hidden = F.replace(column, F.lit("\\\\"), F.lit("\x00"))
-    for escaped, raw in (("\\t", "\t"), ("\\r", "\r"), ("\\n", "\n")):
-        hidden = F.replace(hidden, F.lit(escaped), F.lit(raw))
-    return F.replace(F.replace(hidden, F.lit("\\"), F.lit("")), F.lit("\x00"), F.lit("\\"))
+    """:func:`unescape_tsv` as a column expression: doubled backslashes cut the text, all others lead an escape."""
+
+    def part(text: Column) -> Column:
+        for escaped, raw in (("\\t", "\t"), ("\\r", "\r"), ("\\n", "\n"), ("\\", "")):
+            text = F.replace(text, F.lit(escaped), F.lit(raw))
+        return text
+
+    return F.array_join(F.transform(F.split(column, r"\\\\"), part), "\\")
 
 
 def decode_uri(text: str) -> str:

@@ -21,6 +21,11 @@ def real(score: Column) -> Column:
     return score.isNotNull() & ~F.isnan(score)
 
 
+def scored(score: Column) -> Column:
+    """The score of a row: a missing one is NaN, so no column mixes the two."""
+    return F.coalesce(score.cast("float"), F.lit(float("nan")).cast("float")).alias("score")
+
+
 @dataclass(frozen=True)
 class Index:
     """An index: the tables and their metadata.
@@ -54,8 +59,7 @@ class Index:
         p = self.postings
         has = F.coalesce(~F.isnan("pct5") & (F.abs("pct5") < F.lit(float("inf"))), F.lit(False))
         percentiles = [F.when(has, F.col(c)).cast("float").alias(c) for c in PERCENTILES]
-        score = F.coalesce(F.col("score").cast("float"), F.lit(float("nan")).cast("float")).alias("score")
-        return p.where("keyword IS NOT NULL AND doc IS NOT NULL").select("table_seq", "keyword", "doc", F.col("seq").cast("bigint").alias("seq"), score, *percentiles)
+        return p.where("keyword IS NOT NULL AND doc IS NOT NULL").select("table_seq", "keyword", "doc", F.col("seq").cast("bigint").alias("seq"), scored(F.col("score")), *percentiles)
 
     def keyword_dict(self) -> DataFrame:
         """(table_seq, keyword, n_postings, cont): size of each list and whether any score isn't 0."""

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristdex.model import BAG, PERCENTILES, Bag, real
+from gristdex.session import placed
 
 SAMPLE_SEED = 1234
+#: Postings of a sample that one task gathers at most.
+GATHERED = 100_000
 
 
 def numbered(bag: Bag) -> DataFrame:
@@ -107,6 +110,12 @@ def negate(bag: Bag) -> Bag:
 
 
 def sample(bag: Bag, size: int) -> Bag:
-    """RANDOM_SAMPLE: all postings if at most ``size``, else exactly ``size``, by a fixed hash."""
+    """RANDOM_SAMPLE: all postings if at most ``size``, else exactly ``size``, by a fixed hash.
+
+    Up to ``GATHERED`` postings are gathered in one task; more are taken by their
+    places in a range sort.
+    """
+    order = (F.xxhash64("doc", "seq", F.lit(SAMPLE_SEED)), "doc", "seq")
     n = numbered(bag)
-    return Bag(n.orderBy(F.xxhash64("doc", "seq", F.lit(SAMPLE_SEED)), "doc", "seq").limit(max(size, 0)).select(*BAG), bag.unique)
+    chosen = n.orderBy(*order).limit(max(size, 0)) if size <= GATHERED else placed(n, *order).where(F.col("place") < size)
+    return Bag(chosen.select(*BAG), bag.unique)

@@ -44,8 +44,8 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
 
     Plan: labels are joined to the postings (the adaptive engine broadcasts them if
     their measured size allows); counts by (keyword, score) are combined map-side
-    and running sums go over the distinct scores of a keyword; one row a keyword
-    and document then counts for both ranges.
+    and running sums go by stretches of scores, see :func:`running_counts`; one
+    row a keyword and document then counts for both ranges.
     """
     labels = labels_of(index, statement)
     postings = index.rows().select("table_seq", "keyword", "doc", "seq", "score")
@@ -97,18 +97,65 @@ def _by_event(timed: DataFrame, labels: DataFrame, both: bool, now: float | None
     return held.unionByName(others.select(*KEY, "doc", (today.cast("float") - F.col("score")).cast("float").alias("score"), "cls"))
 
 
-def split_ranges(matched: DataFrame, lists: DataFrame) -> DataFrame:
-    """(key, cut, next, prior, limits): one row a keyword with enough matches; ``cut`` is null where the range stays whole.
+def stretch(score: Column) -> Column:
+    """A number for the stretch of scores that a score lies in; higher stretches have higher numbers.
 
-    Counts by (keyword, score) are combined map-side; the windows run over the
-    distinct scores of a keyword.
+    A 256th of an octave is one stretch, so it has at most 46,000 different 32-bit
+    scores, whatever their distribution, and there are at most 142,000; zero and
+    the infinities have their own.
+    """
+    size = F.abs(score.cast("double"))
+    octave = F.floor(F.log2(size) * 256).cast("int") + 40_000  # the smallest score is above 2^-150
+    number = F.when(size == 0, 0).when(size == float("inf"), 80_000).otherwise(octave) * F.signum(score.cast("double")).cast("int")
+    return F.coalesce(number, F.lit(0))
+
+
+def running_counts(matched: DataFrame, lists: DataFrame) -> DataFrame:
+    """Counts of A and B up to each distinct score of a keyword, of the whole keyword, and the next score.
+
+    Columns: those of ``lists``, ``score``, ``a_low``, ``b_low``, ``a_all``,
+    ``b_all``, ``pos`` (from 1), ``cuts`` (distinct scores), ``next``.  Only
+    keywords with enough matches.
+
+    Counts by (keyword, score) are combined map-side.  Sums run within a stretch
+    of scores; totals of the stretches give what lies before each.  So no task
+    holds a whole keyword, only the scores of a stretch or the stretches of one.
     """
     by_score = matched.groupBy(*KEY, "score").agg(F.count_if(F.col("cls") == 1).alias("a"), F.count_if(F.col("cls") == -1).alias("b"))
-    counted = by_score.join(lists, KEY)
-    up = Window.partitionBy(*KEY).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole, line = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("score")
-    run = counted.select("*", F.sum("a").over(up).alias("a_low"), F.sum("b").over(up).alias("b_low"), F.sum("a").over(whole).alias("a_all"), F.sum("b").over(whole).alias("b_all"), F.row_number().over(line).alias("pos"), F.count(F.lit(1)).over(whole).alias("cuts"), F.lead("score").over(line).alias("next"))
-    run = run.where(F.col("a_all") + F.col("b_all") >= F.least("limit_a", "limit_b"))
+    part = [*KEY, "stretch"]
+    up = Window.partitionBy(*part).orderBy("score")
+    upto, whole = up.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*part)
+    run = by_score.withColumn("stretch", stretch(F.col("score"))).select("*", F.sum("a").over(upto).alias("a_up"), F.sum("b").over(upto).alias("b_up"), F.row_number().over(up).alias("nth"), F.lead("score").over(up).alias("after"))
+    totals = run.withColumn("a_in", F.sum("a").over(whole)).withColumn("b_in", F.sum("b").over(whole)).withColumn("n_in", F.count(F.lit(1)).over(whole)).where("nth = 1")
+    ahead = Window.partitionBy(*KEY).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    line, keyword = Window.partitionBy(*KEY).orderBy("stretch"), Window.partitionBy(*KEY)
+
+    def before(column: str) -> Column:
+        return F.coalesce(F.sum(column).over(ahead), F.lit(0))
+
+    placed = totals.select(
+        *part,
+        *(before(c).alias(name) for c, name in (("a_in", "a_before"), ("b_in", "b_before"), ("n_in", "n_before"))),
+        *(F.sum(c).over(keyword).alias(name) for c, name in (("a_in", "a_all"), ("b_in", "b_all"), ("n_in", "cuts"))),
+        F.lead("score").over(line).alias("then"),
+    )
+    enough = placed.join(lists, KEY).where(F.col("a_all") + F.col("b_all") >= F.least("limit_a", "limit_b"))
+    return run.join(enough, part).select(
+        *lists.columns,
+        "score",
+        (F.col("a_before") + F.col("a_up")).alias("a_low"),
+        (F.col("b_before") + F.col("b_up")).alias("b_low"),
+        "a_all",
+        "b_all",
+        (F.col("n_before") + F.col("nth")).alias("pos"),
+        "cuts",
+        F.coalesce("after", "then").alias("next"),
+    )
+
+
+def split_ranges(matched: DataFrame, lists: DataFrame) -> DataFrame:
+    """(key, cut, next, prior, limits): one row a keyword with enough matches; ``cut`` is null where the range stays whole."""
+    run = running_counts(matched, lists)
 
     def gain(a: Column, b: Column) -> Column:
         p = (a + 1.0) / (a + b + 2.0)
@@ -116,9 +163,9 @@ def split_ranges(matched: DataFrame, lists: DataFrame) -> DataFrame:
 
     low = gain(F.col("a_low"), F.col("b_low"))
     high = gain(F.col("a_all") - F.col("a_low"), F.col("b_all") - F.col("b_low"))
-    scored = run.withColumn("gain", F.greatest(low, high))
-    best = scored.withColumn("best", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("gain"), F.asc("pos")))).where("best = 1")
-    split = F.col("cont") & (F.col("pos") > 1) & (F.col("pos") < F.col("cuts")) & (F.col("gain") >= LEAST_GAIN)
+    kept = ["pos", "score", "next", "cuts", "cont", "prior", "limit_a", "limit_b"]
+    best = run.withColumn("loss", -F.greatest(low, high)).groupBy(*KEY).agg(F.min(F.struct("loss", *kept)).alias("best")).select(*KEY, "best.*")
+    split = F.col("cont") & (F.col("pos") > 1) & (F.col("pos") < F.col("cuts")) & (F.col("loss") <= -LEAST_GAIN)
     return best.select(*KEY, F.when(split, F.col("score")).alias("cut"), F.when(split, F.col("next")).alias("next"), "prior", "limit_a", "limit_b")
 
 

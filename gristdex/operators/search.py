@@ -12,6 +12,7 @@ from gristdex.model import Index
 from gristdex.operators.evaluate import Evaluator
 from gristdex.operators.thresholds import header_columns, parse_key, restrict
 from gristdex.plans.nodes import QueryStatement
+from gristdex.session import placed
 
 
 @dataclass(frozen=True)
@@ -65,9 +66,11 @@ def tables_with(index: Index, keyword: str) -> list[int]:
     return sorted(r[0] for r in rows)
 
 
-def override_bodies(index: Index) -> DataFrame:
-    """(key, extra): the override texts of each key, up to the first override table that lacks it."""
+def override_bodies(index: Index, names: DataFrame | None = None) -> DataFrame:
+    """(key, extra): the override texts of each key, up to the first override table that lacks it.  With ``names`` (``key``), of those only."""
     rows = index.overrides.where("key IS NOT NULL").select("table_seq", "key", "json")
+    if names is not None:
+        rows = rows.join(names.select("key"), "key", "left_semi")
     one = rows.groupBy("table_seq", "key").agg(F.min("json").alias("json")).select("table_seq", "key", body(F.col("json")).alias("body"))
     if index.override_tables is None:
         order = index.overrides.select("table_seq").distinct().select("table_seq", F.row_number().over(Window.orderBy("table_seq")).alias("nth"))
@@ -98,18 +101,18 @@ def query(index: Index, statement: QueryStatement, sizes: dict[str, int] | None
     """Runs a QUERY statement lazily.
 
     Ranked by score downwards (NaN last), then document upwards.  OFFSET and
-    LIMIT come before the look-up of names, so summaries are joined to the page
-    only.  Documents without a summary stay, with null key.
+    LIMIT come before the look-up of names, so summaries and overrides are joined
+    to the page only.  OFFSET without LIMIT drops rows by their places in a range
+    sort, so the rest never meets in one task.  Documents without a summary stay,
+    with null key.
     """
     evaluator = Evaluator(index, sizes)
     found = matches(index, statement, evaluator)
     page = found
-    if statement.offset > 0 or statement.limit >= 0:
-        page = page.orderBy(*rank_order())
-    if statement.offset > 0:
-        page = page.offset(statement.offset)
     if statement.limit >= 0:
-        page = page.limit(statement.limit)
+        page = page.orderBy(*rank_order()).offset(statement.offset).limit(statement.limit) if statement.offset > 0 else page.orderBy(*rank_order()).limit(statement.limit)
+    elif statement.offset > 0:
+        page = placed(page, *rank_order()).where(F.col("place") >= statement.offset).drop("place")
     rows = page.join(index.forward(page if statement.limit >= 0 else None), "doc", "left")
     if statement.keys_only:
         return Result(found, page, rows.orderBy(*rank_order()).select("doc", "score", "key"), True)
@@ -126,7 +129,7 @@ def query(index: Index, statement: QueryStatement, sizes: dict[str, int] | None
     else:
         none = F.lit(None).cast("string")
         rows = rows.withColumn("header", none).withColumn("header_key", none)
-    rows = rows.join(override_bodies(index), "key", "left") if index.overrides is not None else rows.withColumn("extra", F.lit(None).cast("string"))
+    rows = rows.join(override_bodies(index, rows if statement.limit >= 0 else None), "key", "left") if index.overrides is not None else rows.withColumn("extra", F.lit(None).cast("string"))
     parts = F.concat_ws(
         ",",
         F.concat(F.lit('"_key":'), json_quoted(F.coalesce("key", F.lit("")))),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristdex.functions.text import general, json_string, minute_text, short_float32, spark_pattern
-from gristdex.model import PERCENTILES, Index
+from gristdex.model import PERCENTILES, Index, scored
 from gristdex.sources.load import key_filter
 
 
@@ -38,9 +38,9 @@ def summaries(index: Index) -> DataFrame:
 
 
 def time_series(df: DataFrame, date_format: str = "%Y-%m-%d %H:%M:%S") -> DataFrame:
-    """(key, date, value): dates in a strftime format (``%s``: seconds), ``value`` the score, with percentiles if it has them."""
+    """(key, date, value): dates in a strftime format (``%s``: seconds), ``score`` (a missing one is NaN) and percentiles, null where there are none."""
     date = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("string") if date_format == "%s" else F.date_format("ts", spark_pattern(date_format))
-    return df.where("key IS NOT NULL").select("key", date.alias("date"), "score", *PERCENTILES)
+    return df.where("key IS NOT NULL").select("key", date.alias("date"), scored(F.col("score")), *PERCENTILES)
 
 
 def series_counts(df: DataFrame, key: str = "key") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristdex.functions.text import spark_pattern, unescape_tsv_column
 from gristdex.model import PERCENTILES
-from gristdex.session import written
+from gristdex.session import placed
 
 DATE_FORMAT = "%Y-%m-%d %H:%M:%S"
 
@@ -47,18 +47,13 @@ def columnar(df: DataFrame, key: str, other: str, score: str | None) -> DataFram
 def number_documents(summaries: DataFrame, base: int = 0, table_seq: int = 0) -> DataFrame:
     """Gives the rows of a summary table (key, json) dense document numbers from ``base`` in key order.
 
-    The rows are range-sorted and written once, which fixes their places; a
-    row's number is its place in its partition plus the rows of the partitions
-    before, so no task sees the whole table.  Repeated keys are an error, rows
-    without a key are left out.
+    Places come from a range sort, so no task sees the whole table.  Repeated
+    keys are an error, rows without a key are left out.
     """
     rows = summaries.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("json").alias("json"))
     rows = rows.select("key", F.when(F.col("n") == 1, F.col("json")).otherwise(F.raise_error(F.concat(F.lit("duplicate key "), "key"))).alias("json"))
-    placed = written(rows.orderBy("key").select("key", "json", F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftright("at", 33))
-    ahead = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
-    before = ahead.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    doc = F.lit(base) + F.col("before") + F.col("at") - F.shiftleft("part", 33)
-    return placed.join(before, "part").select(F.lit(table_seq).alias("table_seq"), F.lit(base).cast("bigint").alias("base"), doc.cast("bigint").alias("doc"), "key", "json")
+    doc = (F.lit(base) + F.col("place")).cast("bigint")
+    return placed(rows, "key").select(F.lit(table_seq).alias("table_seq"), F.lit(base).cast("bigint").alias("base"), doc.alias("doc"), "key", "json")
 
 
 def resolve_documents(rows: DataFrame, summaries: DataFrame, name: str = "name") -> DataFrame:
@@ -101,7 +96,7 @@ def literal_prefix(pattern: str) -> str:
 
 def key_filter(df: DataFrame, pattern: str, key: str = "keyword") -> DataFrame:
     """Keeps keys that match a regex as a whole; its plain beginning is pushed to the scan."""
-    out, head = df.where(F.col(key).rlike(f"^(?:{pattern})$")), literal_prefix(pattern)
+    out, head = df.where(F.col(key).rlike(rf"\A(?:{pattern})\z")), literal_prefix(pattern)
     return out.where(F.col(key).startswith(head)) if head else out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristdex.model import PERCENTILES
+from gristdex.model import PERCENTILES, scored
 
 MODES = ("union", "pick-one", "sum")
 
@@ -33,9 +33,10 @@ def merge_series(tables: list[DataFrame], mode: str, by: tuple[str, str] = ("key
     ``union``: repeated instants must have equal scores, else reading fails.
     ``pick-one``: the first table has its way, but a row without percentiles beats
     one with them.  ``sum``: scores are added; an instant merged from several rows
-    must have no percentiles, else reading fails.  Null keys drop out.
+    must have no percentiles in any of them, else reading fails.  Null keys drop
+    out; a null score is NaN, as everywhere in an index.
     """
-    rows = stacked([t.select(*by, "score", *PERCENTILES) for t in tables]).where(F.col(by[0]).isNotNull())
+    rows = stacked([t.select(*by, scored(F.col("score")), *PERCENTILES) for t in tables]).where(F.col(by[0]).isNotNull())
     has = _has_percentiles()
     name = F.coalesce(F.col(by[0]), F.lit(""))
     if mode == "pick-one":
@@ -70,8 +71,11 @@ def merge_summaries(tables: list[DataFrame], mode: str) -> DataFrame:
 
 
 def merge_index(tables: list[DataFrame]) -> DataFrame:
-    """Puts posting tables together; a keyword in more than one of them fails on reading."""
-    rows = stacked([t.select("keyword", "doc", "seq", "score", *PERCENTILES) for t in tables])
-    owners = rows.groupBy("keyword").agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
-    checked = owners.select("keyword", F.when(F.col("lo") == F.col("hi"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("duplicate key "), "keyword")).cast("boolean")).alias("ok"))
-    return rows.join(checked.where("ok").select("keyword"), "keyword").drop("source")
+    """Puts posting tables together; a keyword in more than one of them fails on reading, rows without one drop out.
+
+    Keywords are counted map-side, so postings aren't shuffled.
+    """
+    rows = stacked([t.select("keyword", "doc", "seq", "score", *PERCENTILES) for t in tables]).where("keyword IS NOT NULL")
+    owners = rows.groupBy("keyword").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo < hi").agg(F.min("keyword").alias("twice"))
+    guard = owners.select(F.when(F.col("twice").isNotNull(), F.raise_error(F.concat(F.lit("duplicate key "), "twice")).cast("boolean")).otherwise(F.lit(True)).alias("ok")).scalar()
+    return rows.where(guard).drop("source")

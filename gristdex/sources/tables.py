@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristdex.functions.keywords import KeywordRules
 from gristdex.model import Index
+from gristdex.session import placed
 from gristdex.sources.catalog import Catalog
 
 # Codec names of the option and of Parquet.
@@ -45,8 +46,14 @@ def write_table(df: DataFrame, path: str, key: str = "key", compression: str = "
 
 
 def read_rows(df: DataFrame, key: str, count: int | None = None, skip: int = 0, start: str | None = None, then: tuple[str, ...] = ()) -> DataFrame:
-    """Rows in order of the key (and the columns ``then``) from the first key >= ``start``, after ``skip`` rows, at most ``count``."""
+    """Rows in order of the key (and the columns ``then``) from the first key >= ``start``, after ``skip`` rows, at most ``count``.
+
+    Without ``count`` rows are skipped by their places in a range sort, so the
+    rest never meets in one task.
+    """
     out = df if start is None else df.where(F.col(key) >= start)
+    if skip and count is None:
+        return placed(out, key, *then).where(F.col("place") >= skip).orderBy("place").drop("place")
     out = out.orderBy(key, *then)
     if skip:
         out = out.offset(skip)

@@ -104,8 +104,10 @@ def test_folds_keep_the_percentiles_of_the_first_row(spark):
     assert row["score"] == 9.0 and row["pct5"] == pytest.approx(0.1)
 
 
-def test_sample_is_exact_and_repeatable(spark):
+def test_sample_is_exact_and_repeatable(spark, monkeypatch):
     bag = make(spark, [(i % 40, float(i)) for i in sorted(range(100), key=lambda i: i % 40)])
     first = shown(bags.sample(bag, 17))
     assert sum(first.values()) == 17 and first == shown(bags.sample(bag, 17))
     assert shown(bags.sample(bag, 1000)) == shown(bag)
+    monkeypatch.setattr(bags, "GATHERED", 10)  # the same by places in a range sort
+    assert shown(bags.sample(bag, 17)) == first and shown(bags.sample(bag, 1000)) == shown(bag)

@@ -107,3 +107,32 @@ def test_timestamped(spark):
 def test_labels():
     assert range_label(None, None) == "" and range_label(0.5, 2) == "[0.5,2]" and range_label(None, 3) == "≤3" and range_label(3, None) == "≥3"
     assert range_label(2, None, True, True) == "≥2 days ago" and range_label(19000.5, None, True) == "≥2022-01-08 12:00"
+
+
+def test_running_counts_by_stretches(spark):
+    import numpy as np
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from gristdex.operators.correlate import running_counts, stretch
+
+    rng = np.random.default_rng(5)
+    odd = np.array([0.0, -0.0, np.inf, -np.inf, 1e-45, -1e-45, 3.4e38, 1.0, -1.0], np.float32)
+    scores = np.concatenate([odd, rng.normal(0, 100, 300).astype(np.float32), rng.integers(-5, 5, 200).astype(np.float32), np.float32(19000) + rng.random(300).astype(np.float32)])
+    # One keyword has nine tenths of the rows.
+    rows = [(0, "hot" if rng.random() < 0.9 else f"k{i % 3}", float(s), int(rng.choice([1, -1]))) for i, s in enumerate(scores) for _ in range(2)]
+    matched = spark.createDataFrame(rows, "table_seq INT, keyword STRING, score FLOAT, cls INT")
+    lists = spark.createDataFrame([(0, k, 1, True, 0.0, 1, 1) for k in ("hot", "k0", "k1")], "table_seq INT, keyword STRING, n_list INT, cont BOOLEAN, prior DOUBLE, limit_a INT, limit_b INT")
+    got = {(r["keyword"], r["score"]): (r["a_low"], r["b_low"], r["a_all"], r["b_all"], r["pos"], r["cuts"], r["next"]) for r in running_counts(matched, lists).collect()}
+    key = ["table_seq", "keyword"]
+    up, whole = Window.partitionBy(*key).orderBy("score"), Window.partitionBy(*key)
+    by = matched.where("keyword <> 'k2'").groupBy(*key, "score").agg(F.count_if(F.col("cls") == 1).alias("a"), F.count_if(F.col("cls") == -1).alias("b"))
+    plain = by.select("keyword", "score", F.sum("a").over(up), F.sum("b").over(up), F.sum("a").over(whole), F.sum("b").over(whole), F.row_number().over(up), F.count("a").over(whole), F.lead("score").over(up))
+    assert got == {(r[0], r[1]): tuple(r[2:]) for r in plain.collect()}
+
+    bits = np.concatenate([np.arange(0x3F7F0000, 0x40010000, 97), np.arange(0, 0x7F800001, 999_983)]).astype(np.uint32)
+    near = np.sort(bits.view(np.float32))
+    numbers = spark.createDataFrame([(float(x),) for x in near[::5]], "x FLOAT").select("x", stretch(F.col("x")).alias("n"), stretch(-F.col("x")).alias("m")).orderBy("x").collect()
+    assert all(a["n"] <= b["n"] and a["m"] >= b["m"] for a, b in zip(numbers, numbers[1:]))
+    octave = np.arange(0x3F800000, 0x40000000, dtype=np.uint32).view(np.float32)
+    assert np.bincount(np.floor(np.log2(octave.astype(np.float64)) * 256).astype(int)).max() <= 46_000

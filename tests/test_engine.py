@@ -72,6 +72,7 @@ def test_ranked_search(engine):
     assert "o" not in out["result"][1]  # the chain stops at the first table without the key
     assert list(engine.run("QUERY (red) OFFSET 9;")) == ["[]"]
     assert list(engine.run("QUERY KEYS FOR (size) LIMIT 2 OFFSET 1;")) == ["two", "three"]
+    assert list(engine.run("QUERY KEYS FOR (size) OFFSET 1;")) == ["two", "three", "one"]
     assert list(engine.run("QUERY (nothing) LIMIT 0;")) == ["[]"]
     assert json.loads(list(engine.run("QUERY (red) LIMIT 0;"))[0]) == {"result-count": 3, "result": []}
 

@@ -80,6 +80,29 @@ def test_duplicate_keys(spark):
     assert tables.unique_keys(twice.where("json <> 'z'")).count() == 2
 
 
+def test_a_write_that_breaks_off_publishes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(100).selectExpr("CAST(id AS STRING) AS key", "if(id = 77, CAST(raise_error('broken off') AS BIGINT), id) AS v").repartition(4)
+    with pytest.raises(Exception, match="broken off"):
+        tables.write_table(rows, path)
+    with pytest.raises(PySparkException):  # neither a schema nor rows to be read
+        spark.read.parquet(path)
+    tables.write_table(spark.range(99).selectExpr("CAST(id AS STRING) AS key", "id AS v"), path, mode="overwrite")
+    assert spark.read.parquet(path).count() == 99
+    with pytest.raises(PySparkException):  # a table is written once
+        tables.write_table(spark.range(1).selectExpr("'x' AS key"), path)
+    assert spark.read.parquet(path).count() == 99
+
+
+def test_rows_after_skipping_without_a_count(spark):
+    rows = spark.createDataFrame([(f"k{i % 40:02}", i) for i in range(200)], "key STRING, n INT").repartition(5)
+    want = sorted(map(tuple, rows.collect()))
+    skipped = tables.read_rows(rows, "key", skip=37, start="k05", then=("n",))
+    assert "SinglePartition" not in skipped._jdf.queryExecution().executedPlan().toString().replace("SinglePartition, ENSURE", "")
+    assert [tuple(r) for r in skipped.collect()] == [w for w in want if w[0] >= "k05"][37:]
+    assert tables.read_rows(rows, "key", skip=500).count() == 0
+
+
 def test_scores_and_dates(spark, tmp_path):
     good = load.load_time_series(spark, write(tmp_path / "t.tsv", ["k\t2024-02-29 12:00:00\t1.5", "k\t2024-03-01 00:00:00\tnan 1 2 3 4"]))
     rows = sorted((str(r["ts"]), r["pct5"]) for r in good.collect())
@@ -135,6 +158,8 @@ def test_merge_series(spark):
     with pytest.raises(ValueError):
         merged(spark, [one], "other")
     nan = [("a", 1, math.nan, *NONE)]
+    for mode in ("union", "pick-one", "sum"):  # a missing score is NaN
+        assert math.isnan(merged(spark, [[("a", 1, None, *NONE)]], mode)[0][2])
     assert len(merged(spark, [nan], "union")) == 1
     with pytest.raises(PySparkException):
         merged(spark, [nan, nan], "union")
@@ -149,7 +174,8 @@ def test_merge_summaries_and_index(spark):
         get("sum")
     p = lambda *ks: spark.createDataFrame([(k, 1, 1, 0.0, *NONE) for k in ks], "keyword STRING, doc BIGINT, seq INT, score FLOAT, pct5 FLOAT, pct25 FLOAT, pct75 FLOAT, pct95 FLOAT")
     assert merge.merge_index([p("a", "b", "b"), p("c")]).count() == 4
-    with pytest.raises(PySparkException):
+    assert sorted(r["keyword"] for r in merge.merge_index([p("a"), p("b", None)]).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="duplicate key a"):
         merge.merge_index([p("a"), p("a")]).collect()
 
 

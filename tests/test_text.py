@@ -6,7 +6,7 @@ from gristdex.functions.text import date_text, decode_uri, escape_tsv, escape_ts
 from gristdex.sources.catalog import CatalogError, parse_catalog
 from gristdex.sources.export import error_line, output_double, output_float, output_integer, output_string
 
-HARD = ["", "plain", "a\tb", "line\nbreak\r", "back\\slash", "\\t not a tab", "\\\\n", "\\", "ü\t漢\\\n"]
+HARD = ["", "plain", "a\tb", "line\nbreak\r", "back\\slash", "\\t not a tab", "\\\\n", "\\", "ü\t漢\\\n", "nul\x00\\\x00", "\\\\\\t"]
 
 
 def test_escapes(spark):
@@ -47,11 +47,11 @@ def test_hosts(spark):
 def test_keyword_rules(spark):
     rules = KeywordRules.parse("# note\nephemeral:\n  - tmp:\n  - \"/q[01]/\"\ntimestamped: [event:, 'x']\n")
     assert rules == KeywordRules(("tmp:", "/q[01]/"), ("event:", "x"))
-    words = ["tmp:a", "q1", "q12", "event:", "xy", "", "qq"]
+    words = ["tmp:a", "q1", "q12", "event:", "xy", "", "qq", "q1\n"]
     rows = spark.createDataFrame([(w,) for w in words], "w STRING").select("w", rules.ephemeral_column(F.col("w")).alias("e"), rules.timestamped_column(F.col("w")).alias("t")).collect()
     for r in rows:
         assert (r["e"], r["t"]) == (rules.is_ephemeral(r["w"]), rules.is_timestamped(r["w"]))
-    assert [rules.is_ephemeral(w) for w in words] == [True, True, False, False, False, False, False]
+    assert [rules.is_ephemeral(w) for w in words] == [True, True, False, False, False, False, False, False]
     assert KeywordRules.parse("") == KeywordRules()
 
 
