@@ -153,7 +153,6 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, path: str | None = None
 
     Plan: a narrow map in Arrow batches, no shuffle.
     """
-    path = path or vocabulary_path()
     carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carried)
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
@@ -161,7 +160,7 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, path: str | None = None
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"{c} {kinds[c]}" for c in extra), "ids array<int>", *(["starts array<bigint>"] if offsets else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path or vocabulary_path())  # looked up where the task runs
         for batch, texts in (x for b in batches for x in portions(b)):
             coded = coder.encode(texts)
             columns = [batch.column("doc_id"), *(batch.column(c) for c in extra), pa.array([c[0] for c in coded], pa.list_(pa.int32()))]
@@ -176,14 +175,13 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, path: str | None = None
 
 def token_counts(df: DataFrame, doc_id: str, text: str, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Number of tokens of every text: ``doc_id``, ``tokens`` BIGINT and the kept columns; null and empty texts have 0."""
-    path = path or vocabulary_path()
     extra = [f"keep_{i}" for i in range(len(keep))]
     slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(x) for c, x in zip(keep, extra)))
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *(f"{c} {kinds[c]}" for c in extra), "tokens bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path or vocabulary_path())  # looked up where the task runs
         for batch, texts in (x for b in batches for x in portions(b)):
             sizes = [len(ids) for ids, _ in coder.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in extra), pa.array(sizes, pa.int64())], ["doc_id", *extra, "tokens"])
