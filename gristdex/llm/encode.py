@@ -125,11 +125,11 @@ class BytePairEncoder:
 _encoders: dict[str, BytePairEncoder] = {}
 
 
-def portions(batch: pa.RecordBatch, most: int = BATCH_POINTS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cuts a batch so that the texts of a portion stay within ``most`` code points, null texts read as empty."""
+def portions(batch: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cuts a batch so that the texts of a portion stay within ``most`` (BATCH_POINTS) code points, null texts read as empty."""
     texts, lo, points = [t or "" for t in batch.column("text").to_pylist()], 0, 0
     for i, t in enumerate(texts):
-        if i > lo and points + len(t) > most:
+        if i > lo and points + len(t) > (most or BATCH_POINTS):
             yield batch.slice(lo, i - lo), texts[lo:i]
             lo, points = i, 0
         points += len(t)
