@@ -25,13 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def index_of(spark: SparkSession, d: str, multi_index: str = "union") -> Index:
+def index_of(spark: SparkSession, d: str, multi_index: str = "last") -> Index:
     objects = spark.createDataFrame([("hosts", HOSTS)], "key STRING, data STRING")
     return Index(table(spark, d, "postings"), table(spark, d, "summaries"), table(spark, d, "overrides"), objects, RULES, multi_index)
 
 
-def engine_of(spark: SparkSession, d: str) -> Engine:
-    return Engine(index_of(spark, d), now=NOW)
+def engine_of(spark: SparkSession, d: str, multi_index: str = "last") -> Engine:
+    return Engine(index_of(spark, d, multi_index), now=NOW)
 
 
 def query(sql: str | None = None):
@@ -46,52 +46,73 @@ def query(sql: str | None = None):
     return add
 
 
-def bag(name: str, expr: str, multi_index: str = "union") -> None:
-    """A query whose rows are the (doc, score) of an expression's bag."""
+def bag(name: str, expr: str, sql: str | None = None, multi_index: str = "last") -> None:
+    """A query whose rows are the (doc, score) of an expression's bag; ``sql`` follows the common tables."""
     QUERIES[name] = lambda spark, d: Engine(index_of(spark, d, multi_index)).evaluate(expr).df.select("doc", "score")
-    SQL[name] = f"WITH {BASE} SELECT doc, score FROM {expression(expr, multi_index == 'union')}"
+    SQL[name] = f"WITH {BASE}{sql}" if sql else f"WITH {BASE} SELECT doc, score FROM {expression(expr, multi_index == 'union')}"
 
 
-bag("leaf_lookup", "status:open", "last")
-bag("leaf_union", "status:open")
-bag("leaf_uri_decoded", "words")
+def _of(keyword: str, table: str = "Q") -> str:
+    return f"(SELECT doc, seq, score FROM {table} WHERE keyword = '{keyword}')"
+
+
+def _nth(keyword: str, score: str = "score", where: str = "true") -> str:
+    """The postings of each document in order, for SQL written by hand."""
+    return f"(SELECT doc, {score} AS score, row_number() OVER (PARTITION BY doc ORDER BY seq, {score}) AS k FROM Q WHERE keyword = '{keyword}' AND {where})"
+
+
+_HIGHEST = "coalesce(max(score) FILTER (WHERE NOT isnan(score)), CAST('NaN' AS FLOAT))"
+
+bag("leaf_lookup", "status:open", f" SELECT doc, score FROM {_of('status:open')}")
+bag("leaf_union", "status:open", f" SELECT doc, score FROM {_of('status:open', 'P')}", "union")
+bag("leaf_uri_decoded", "%73tatus%3Ao%70en", f" SELECT doc, score FROM {_of('status:open')}")
 bag("leaf_dup_events", "event:vote")
 bag("doc_key", "KEY=p0000000001")
 bag("substring_leaf", "in-lang:EN")
 bag("op_or", "status:open + lang:fr")
-bag("op_or_dups", "event:vote + event:edit")
-bag("op_and", "price AND status:open")
-bag("op_and_juxtaposed", "event:view kind:item has:link")
-bag("op_subtract", "event:edit - status:hidden")
-bag("op_and_not", "event:edit AND NOT lang:en")
-bag("cmp_eq", "words = 120")
-bag("cmp_gt", "price > 100.5")
-bag("cmp_ge", "event:ping >= 2024-06-01")
+bag("op_or_union", "status:open + lang:fr", multi_index="union")
+bag("op_or_dups", "event:vote + event:edit", f", e AS {_nth('event:edit')}, v AS {_nth('event:vote')} SELECT doc, score FROM e UNION ALL SELECT v.doc, v.score FROM v ANTI JOIN e ON v.doc = e.doc AND v.k = e.k")
+bag("op_and", "price AND status:open", f" SELECT a.doc, a.score FROM {_of('price')} a SEMI JOIN {_of('status:open')} b ON a.doc = b.doc")
+bag("op_and_union", "price AND status:open", multi_index="union")
+bag("op_and_juxtaposed", "event:view kind:item has:link", f" SELECT a.doc, a.score FROM {_of('event:view')} a SEMI JOIN {_of('kind:item')} b ON a.doc = b.doc SEMI JOIN {_of('has:link')} c ON a.doc = c.doc")
+bag("op_subtract", "event:edit - status:hidden", f" SELECT a.doc, a.score FROM {_of('event:edit')} a ANTI JOIN {_of('status:hidden')} b ON a.doc = b.doc")
+bag("op_and_not", "event:edit AND NOT lang:en", f" SELECT a.doc, a.score FROM {_of('event:edit')} a ANTI JOIN {_of('lang:en')} b ON a.doc = b.doc")
+bag("op_chain", "event:edit + event:vote - lang:en kind:item", f""", v AS {_nth('event:vote')}, e AS {_nth('event:edit')},
+u AS (SELECT doc, score FROM v UNION ALL SELECT e.doc, e.score FROM e ANTI JOIN v ON e.doc = v.doc AND e.k = v.k)
+SELECT u.doc, u.score FROM u ANTI JOIN {_of('lang:en')} a ON u.doc = a.doc SEMI JOIN {_of('kind:item')} b ON u.doc = b.doc""")
+bag("cmp_eq", "words = 120", f" SELECT doc, score FROM {_of('words')} WHERE score = 120")
+bag("cmp_gt", "price > 100.5", f" SELECT doc, score FROM {_of('price')} WHERE CAST(score AS DOUBLE) > 100.5 AND NOT isnan(score)")
+bag("cmp_ge", "event:ping >= 2024-06-01", f" SELECT doc, score FROM {_of('event:ping')} WHERE CAST(score AS DOUBLE) >= date_diff('day', DATE '1970-01-01', DATE '2024-06-01') AND NOT isnan(score)")
 bag("cmp_lt", "acctbal < -10")
-bag("cmp_le", "words <= 0x40")
-bag("in_range", "price[80, 20]")
-bag("gt_join", "event:edit > event:vote")
+bag("cmp_le", "words <= 0x40", f" SELECT doc, score FROM {_of('words')} WHERE score <= 64")
+bag("in_range", "price[80, 20]", f" SELECT doc, score FROM {_of('price')} WHERE CAST(score AS DOUBLE) BETWEEN 20 AND 80")
+bag("gt_join", "event:edit > event:vote", f", e AS {_nth('event:edit')}, v AS {_nth('event:vote')} SELECT e.doc, e.score FROM e JOIN v ON e.doc = v.doc AND e.k = v.k WHERE e.score > v.score AND NOT isnan(e.score) AND NOT isnan(v.score)")
+bag("gt_join_union", "event:edit > event:vote", multi_index="union")
 bag("lt_join", "event:edit < event:vote")
-bag("order_by", "event:vote ORDER BY price")
+bag("order_by", "event:vote ORDER BY price", f", v AS {_nth('event:vote')}, b AS {_nth('price')} SELECT v.doc, CASE WHEN b.doc IS NULL THEN CAST('-inf' AS FLOAT) ELSE b.score END AS score FROM v LEFT JOIN b ON v.doc = b.doc AND v.k = b.k")
+bag("order_by_union", "event:vote ORDER BY price", multi_index="union")
 bag("op_max", "MAX(event:vote + event:edit)")
-bag("op_min", "MIN(price)")
-bag("negate", "~acctbal")
-bag("nested_expr", "MAX((event:edit > 19900) + event:vote) (status:open + status:pinned) - lang:de ORDER BY ~words")
+bag("op_min", "MIN(price)", f" SELECT doc, coalesce(min(score) FILTER (WHERE NOT isnan(score)), CAST('NaN' AS FLOAT)) AS score FROM {_of('price')} GROUP BY doc")
+bag("negate", "~acctbal", f" SELECT doc, -score AS score FROM {_of('acctbal')}")
+bag("nested_expr", "MAX((event:edit > 19900) + event:vote) (status:open + status:pinned) - lang:de ORDER BY ~words", f""", e AS {_nth('event:edit', where='NOT isnan(score) AND CAST(score AS DOUBLE) > 19900')}, v AS {_nth('event:vote')},
+m AS (SELECT doc, {_HIGHEST} AS score FROM (SELECT doc, score FROM v UNION ALL SELECT e.doc, e.score FROM e ANTI JOIN v ON e.doc = v.doc AND e.k = v.k) GROUP BY doc),
+s AS (SELECT DISTINCT doc FROM Q WHERE keyword IN ('status:open', 'status:pinned')), w AS {_nth('words', '-score')}
+SELECT m.doc, CASE WHEN w.doc IS NULL THEN CAST('-inf' AS FLOAT) ELSE w.score END AS score FROM m SEMI JOIN s ON m.doc = s.doc ANTI JOIN {_of('lang:de')} d ON m.doc = d.doc LEFT JOIN w ON m.doc = w.doc AND w.k = 1""")
 
 for _pick in ("max", "min"):
     QUERIES[f"dedupe_{_pick}"] = lambda spark, d, p=_pick: _dedupe(spark, d, p)
-    SQL[f"dedupe_{_pick}"] = f"WITH {BASE} SELECT doc, score FROM {folded(expression('price'), _pick)}"
+    SQL[f"dedupe_{_pick}"] = f"WITH {BASE} SELECT doc, score FROM {folded(expression('price', True), _pick)}"
 
 
 def _dedupe(spark: SparkSession, d: str, pick: str) -> DataFrame:
     from gristdex.operators.evaluate import Evaluator
 
-    return Evaluator(index_of(spark, d)).result("price", use_max=pick == "max").df.select("doc", "score")
+    return Evaluator(index_of(spark, d, "union")).result("price", use_max=pick == "max").df.select("doc", "score")
 
 
 @query(f"WITH {BASE}, n AS (SELECT count(*) AS n FROM P WHERE keyword = 'event:view') SELECT least(n, 500) AS n_rows, least(n, 500) AS n_known FROM n")
 def random_sample(spark: SparkSession, d: str) -> DataFrame:
-    e = engine_of(spark, d)
+    e = engine_of(spark, d, "union")
     whole = e.evaluate("event:view").df.select("doc", "seq", "score").distinct().withColumn("known", F.lit(1))
     chosen = e.evaluate("RANDOM_SAMPLE(event:view, 500)").df.select("doc", "score")
     known = whole.select("doc", "score", "known").distinct()
@@ -119,11 +140,26 @@ def _page(spark: SparkSession, d: str, statement: str) -> DataFrame:
     return engine_of(spark, d).query(statement).rows
 
 
-@query(f"WITH {BASE} SELECT r.doc, score, key, json FROM {ranked('price AND status:open ORDER BY words', 25)} r LEFT JOIN F USING (doc)")
+_TOPK = f"""a AS {_nth('price')}, w AS {_nth('words')},
+matched AS (SELECT doc, {_HIGHEST} AS score FROM (SELECT a.doc, CASE WHEN w.doc IS NULL THEN CAST('-inf' AS FLOAT) ELSE w.score END AS score FROM a SEMI JOIN {_of('status:open')} s ON a.doc = s.doc LEFT JOIN w ON a.doc = w.doc AND a.k = w.k) GROUP BY doc),
+page AS (SELECT *, row_number() OVER (ORDER BY isnan(score), score DESC, doc) AS n FROM matched QUALIFY n <= 25)"""
+
+
+@query(f"WITH {BASE}, {_TOPK} SELECT page.doc, score, key, json FROM page LEFT JOIN F USING (doc)")
 def query_topk(spark: SparkSession, d: str) -> DataFrame:
     return _page(spark, d, "QUERY (price AND status:open ORDER BY words) LIMIT 25").select("doc", "score", "key", "json")
 
 
+@query(f"WITH {BASE} SELECT r.doc, score, key, json FROM {ranked('price AND status:open ORDER BY words', 25, union=True)} r LEFT JOIN F USING (doc)")
+def query_topk_union(spark: SparkSession, d: str) -> DataFrame:
+    return engine_of(spark, d, "union").query("QUERY (price AND status:open ORDER BY words) LIMIT 25").rows.select("doc", "score", "key", "json")
+
+
+@query(f"WITH {BASE} SELECT r.doc, score, key FROM {ranked('event:vote', -1, 15)} r LEFT JOIN F USING (doc)")
+def query_offset_only(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d, "QUERY (event:vote) OFFSET 15").select("doc", "score", "key")
+
+
 @query(f"WITH {BASE} SELECT r.doc, score, key FROM {ranked('event:vote', 20, 15)} r LEFT JOIN F USING (doc)")
 def query_offset(spark: SparkSession, d: str) -> DataFrame:
     return _page(spark, d, "QUERY (event:vote) LIMIT 20 OFFSET 15 ROWS").select("doc", "score", "key")
@@ -182,14 +218,12 @@ def thresholds_dates(spark: SparkSession, d: str) -> DataFrame:
 
 # SELECT
 
-_FROM = folded(expression("status:open + kind:item"), "min")
-
-
-def _matrix(fields: list[str], last: str = "") -> str:
+def _matrix(fields: list[str], last: str = "", union: bool = False) -> str:
     names = [f"f{i + 1}" for i in range(len(fields))]
     cells = ", ".join(f"coalesce({n}, CAST('NaN' AS FLOAT)) AS {n}" for n in names)
-    joins = " ".join(f"LEFT JOIN {cell(f, n)} USING (doc)" for f, n in zip(fields, names))
-    return f"WITH {BASE} SELECT doc, key, {cells}{last} FROM {_FROM} r LEFT JOIN F USING (doc) {joins}"
+    joins = " ".join(f"LEFT JOIN {cell(f, n, union)} USING (doc)" for f, n in zip(fields, names))
+    rows = folded(expression("status:open + kind:item", union), "min")
+    return f"WITH {BASE} SELECT doc, key, {cells}{last} FROM {rows} r LEFT JOIN F USING (doc) {joins}"
 
 
 @query(_matrix(["price", "words", "acctbal", "event:view"]))
@@ -197,6 +231,11 @@ def select_fields(spark: SparkSession, d: str) -> DataFrame:
     return engine_of(spark, d).select("SELECT price, words, acctbal, event:view FROM (status:open + kind:item)")
 
 
+@query(_matrix(["price", "words", "acctbal", "event:view"], union=True))
+def select_fields_union(spark: SparkSession, d: str) -> DataFrame:
+    return engine_of(spark, d, "union").select("SELECT price, words, acctbal, event:view FROM (status:open + kind:item)")
+
+
 @query(_matrix(["lang:en", "lang:fr", "has:link + has:image", "MAX(price) > 50"]))
 def select_presence(spark: SparkSession, d: str) -> DataFrame:
     return engine_of(spark, d).select("SELECT PARALLEL 4 lang:en, lang:fr, has:link + has:image, MAX(price) > 50 FROM (status:open + kind:item)")
@@ -210,8 +249,8 @@ def select_with_summaries(spark: SparkSession, d: str) -> DataFrame:
 # CORRELATE
 
 
-def _correlate(spark: SparkSession, d: str, statement: str) -> DataFrame:
-    found = engine_of(spark, d).correlate(statement)
+def _correlate(spark: SparkSession, d: str, statement: str, multi_index: str = "last") -> DataFrame:
+    found = engine_of(spark, d, multi_index).correlate(statement)
     return found.select("table_seq", "keyword", "low", "high", "n_a", "n_b", F.round("log_odds", 6).alias("log_odds"))
 
 
@@ -228,6 +267,16 @@ def correlate_continuous(spark: SparkSession, d: str) -> DataFrame:
     return _correlate(spark, d, "CORRELATE QUERY (words > 200), (words <= 200)")
 
 
+@query(correlated("words > 200", "words <= 200", union=True))
+def correlate_continuous_union(spark: SparkSession, d: str) -> DataFrame:
+    return _correlate(spark, d, "CORRELATE QUERY (words > 200), (words <= 200)", "union")
+
+
+@query(correlated("event:vote", "words", _TIMED, _EPHEMERAL, now=NOW, union=True))
+def correlate_timestamped_union(spark: SparkSession, d: str) -> DataFrame:
+    return _correlate(spark, d, "CORRELATE QUERY (event:vote), (words)", "union")
+
+
 @query(correlated("event:vote", "words", _TIMED, _EPHEMERAL, now=NOW))
 def correlate_timestamped(spark: SparkSession, d: str) -> DataFrame:
     return _correlate(spark, d, "CORRELATE QUERY (event:vote), (words)")
@@ -253,8 +302,8 @@ def keyword_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT keyword, count(*) AS n_postings, max(doc) AS max_doc FROM P GROUP BY 1")
 def posting_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = index_of(spark, d).rows()
-    return rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_postings"), F.max("doc").alias("max_doc"))
+    """Read off packed lists, without unpacking them."""
+    return blocks.counts(blocks.pack(table(spark, d, "postings")))
 
 
 @query("SELECT keyword, doc, seq, score FROM postings WHERE keyword IS NOT NULL AND doc BETWEEN 100 AND 1000000100")
@@ -351,15 +400,15 @@ def merge_sum(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_series([rows.where("ts < '2020-01-01'"), rows.where("ts >= '2018-01-01'")], "sum").select("key", "ts", "score")
 
 
-@query(f"WITH c AS (SELECT key, ts, score FROM time_series WHERE key IS NOT NULL), {_OVERLAPPING} SELECT key, ts, CAST(sum(score) AS FLOAT) AS score FROM u GROUP BY 1, 2")
+@query(f"WITH c AS (SELECT key, ts, coalesce(score, CAST('NaN' AS FLOAT)) AS score FROM time_series WHERE key IS NOT NULL), {_OVERLAPPING} SELECT key, ts, CAST(sum(score) AS FLOAT) AS score FROM u GROUP BY 1, 2")
 def merge_sum_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of both tables, repeated ones and those without a score too."""
+    """Every row of both tables, repeated ones and those without a score too, which makes the sum NaN."""
     rows = _plain(table(spark, d, "time_series").where("key IS NOT NULL"))
     return merge.merge_series(overlapping(rows), "sum").select("key", "ts", "score")
 
 
-@query("""WITH r AS (SELECT *, CASE WHEN arrived_at <= ts + INTERVAL 1 DAY THEN 0 ELSE 1 END AS source, coalesce(NOT isnan(pct5) AND NOT isinf(pct5), false) AS has FROM time_series WHERE key IS NOT NULL)
-SELECT key, ts, score, pct5 FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY has, source, score NULLS FIRST, pct5 NULLS FIRST, pct25 NULLS FIRST, pct75 NULLS FIRST, pct95 NULLS FIRST) AS rn FROM r) WHERE rn = 1""")
+@query("""WITH r AS (SELECT * REPLACE (coalesce(score, CAST('NaN' AS FLOAT)) AS score), CASE WHEN arrived_at <= ts + INTERVAL 1 DAY THEN 0 ELSE 1 END AS source, coalesce(NOT isnan(pct5) AND NOT isinf(pct5), false) AS has FROM time_series WHERE key IS NOT NULL)
+SELECT key, ts, score, pct5 FROM (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY has, source, score, pct5 NULLS FIRST, pct25 NULLS FIRST, pct75 NULLS FIRST, pct95 NULLS FIRST) AS rn FROM r) WHERE rn = 1""")
 def merge_pick_one(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "time_series")
     prompt = F.coalesce(F.col("arrived_at") <= F.col("ts") + F.expr("INTERVAL 1 DAY"), F.lit(False))
@@ -403,7 +452,7 @@ def dump_summaries(spark: SparkSession, d: str) -> DataFrame:
     return export.summaries(index_of(spark, d))
 
 
-@query("SELECT key, strftime(ts, '%d.%m.%Y %H:%M') AS date, score FROM time_series WHERE key IS NOT NULL")
+@query("SELECT key, strftime(ts, '%d.%m.%Y %H:%M') AS date, coalesce(score, CAST('NaN' AS FLOAT)) AS score FROM time_series WHERE key IS NOT NULL")
 def dump_time_series(spark: SparkSession, d: str) -> DataFrame:
     return export.time_series(table(spark, d, "time_series"), "%d.%m.%Y %H:%M").select("key", "date", "score")
 

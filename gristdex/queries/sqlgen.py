@@ -1,12 +1,17 @@
-"""SQL of expressions, written independently of the Spark operators: what the queries are checked by."""
+"""SQL of expressions, written independently of the Spark operators: what most queries are checked by.
+
+Trees come from this package's parser; chains and nested expressions have SQL of
+their own in the queries, so that precedence is checked too.
+"""
 
 from __future__ import annotations
 
 from gristdex.plans.nodes import Binary, Compare, DocKey, Expr, InRange, Leaf, Sample, Unary
 from gristdex.plans.parser import parse_expression
 
-#: Common table expressions: postings P and first summary rows F.
+#: Common table expressions: postings P, of these Q in the last table of their keyword, and first summary rows F.
 BASE = """P AS (SELECT table_seq, keyword, doc, CAST(seq AS BIGINT) AS seq, coalesce(score, CAST('NaN' AS FLOAT)) AS score FROM postings WHERE keyword IS NOT NULL AND doc IS NOT NULL),
+Q AS (SELECT * FROM P QUALIFY table_seq = max(table_seq) OVER (PARTITION BY keyword)),
 F AS (SELECT doc, key, json FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY table_seq, key NULLS FIRST, json NULLS FIRST) AS rn FROM summaries WHERE doc IS NOT NULL) WHERE rn = 1)"""
 
 
@@ -18,7 +23,7 @@ def numbered(sub: str) -> str:
     return f"(SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY seq, score) AS seq, score FROM {sub})"
 
 
-def expression(e: Expr | str, union: bool = True) -> str:
+def expression(e: Expr | str, union: bool = False) -> str:
     """A subquery (doc, seq, score) of an expression; ``union`` as in the index's ``multi_index``."""
     if isinstance(e, str):
         e = parse_expression(e)
@@ -42,9 +47,9 @@ def expression(e: Expr | str, union: bool = True) -> str:
         raise ValueError("a sample is not SQL")
     a, b = expression(e.left, union), expression(e.right, union)
     if e.op == "AND":
-        return f"(SELECT * FROM {a} WHERE doc IN (SELECT doc FROM {b}))"
+        return f"(SELECT x.* FROM {a} x SEMI JOIN {b} y ON x.doc = y.doc)"
     if e.op == "SUBTRACT":
-        return f"(SELECT * FROM {a} WHERE doc NOT IN (SELECT doc FROM {b}))"
+        return f"(SELECT x.* FROM {a} x ANTI JOIN {b} y ON x.doc = y.doc)"
     na, nb = numbered(a), numbered(b)
     if e.op == "OR":
         return f"(SELECT * FROM {nb} UNION ALL SELECT x.* FROM {na} x LEFT JOIN (SELECT doc, count(*) AS c FROM {b} GROUP BY 1) y ON x.doc = y.doc WHERE x.seq > coalesce(y.c, 0))"
@@ -63,24 +68,24 @@ def body(column: str) -> str:
     return f"nullif({inner}, '')"
 
 
-def ranked(e: str, limit: int = -1, offset: int = 0) -> str:
-    page = f"(SELECT doc, score FROM {folded(expression(e), 'max')} ORDER BY isnan(score), score DESC, doc"
+def ranked(e: str, limit: int = -1, offset: int = 0, union: bool = False) -> str:
+    page = f"(SELECT doc, score FROM {folded(expression(e, union), 'max')} ORDER BY isnan(score), score DESC, doc"
     return page + (f" LIMIT {limit}" if limit >= 0 else "") + (f" OFFSET {offset}" if offset else "") + ")"
 
 
-def cell(e: str, name: str) -> str:
+def cell(e: str, name: str, union: bool = False) -> str:
     """(doc, name) of a SELECT field."""
-    sub = expression(e)
+    sub = expression(e, union)
     return f"(SELECT doc, CASE WHEN (SELECT bool_or(isnan(score) OR score <> 0) FROM {sub}) THEN score ELSE CAST(1 AS FLOAT) END AS {name} FROM {folded(sub, 'min')})"
 
 
-def correlated(a: str, b: str, timed: str = "false", ephemeral: str = "false", both: bool = False, now: float = 0) -> str:
+def correlated(a: str, b: str, timed: str = "false", ephemeral: str = "false", both: bool = False, now: float = 0, union: bool = False) -> str:
     """CORRELATE as one statement; ``timed`` and ``ephemeral`` are conditions on ``keyword``, used if A is timestamped."""
     event = "cls = 1" if not both else "cls IS NOT NULL"
     others = "" if both else f"\n UNION ALL SELECT table_seq, keyword, doc, CAST({now} AS FLOAT) - score, cls FROM J WHERE {timed} AND coalesce(cls, 0) <> 1"
     return f"""WITH {BASE},
-A AS (SELECT doc, score AS event FROM {folded(expression(a), 'min')}),
-B AS (SELECT doc, score AS event FROM {folded(expression(b), 'min')} WHERE doc NOT IN (SELECT doc FROM A)),
+A AS (SELECT doc, score AS event FROM {folded(expression(a, union), 'min')}),
+B AS (SELECT doc, score AS event FROM {folded(expression(b, union), 'min')} WHERE doc NOT IN (SELECT doc FROM A)),
 L AS (SELECT doc, 1 AS cls, event FROM A UNION ALL SELECT doc, -1, event FROM B),
 lim AS (SELECT ln((na + 1.0) / (nb + 1.0)) AS prior, greatest(na // 20, 1) AS la, greatest(nb // 20, 1) AS lb FROM (SELECT (SELECT count(*) FROM A) AS na, (SELECT count(*) FROM B) AS nb) WHERE na > 0 AND nb > 0),
 S AS (SELECT table_seq, keyword FROM P, lim WHERE NOT ({ephemeral}) GROUP BY table_seq, keyword, la, lb HAVING count(*) >= la OR count(*) >= lb),

@@ -35,19 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "gristdex-shared")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a table written to the shared folder: computed once, whatever reads it, and safe from lost executors.
-
-    The table is removed when the session's file system is closed, at the end of
-    the application at the latest.
-    """
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the session's file system is closed, at the end of the application at the latest."""
     path = f"{shared_folder(spark)}/gristdex-{uuid.uuid4().hex}"
     # Marked on a file system of this user, as Spark's own writers use it.
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a table written to the shared folder: computed once, whatever reads it, and safe from lost executors."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def placed(df: DataFrame, *order: Column | str) -> DataFrame:
