@@ -26,8 +26,14 @@ SQL: dict[str, str] = {}
 
 
 def index_of(spark: SparkSession, d: str, multi_index: str = "last") -> Index:
+    """The test tables as an index.
+
+    Its catalog names the delta before the main table: of a keyword in both, the
+    last has its way, which would else be the few rows of the delta.
+    """
     objects = spark.createDataFrame([("hosts", HOSTS)], "key STRING, data STRING")
-    return Index(table(spark, d, "postings"), table(spark, d, "summaries"), table(spark, d, "overrides"), objects, RULES, multi_index)
+    postings = table(spark, d, "postings").withColumn("table_seq", F.lit(1) - F.col("table_seq"))
+    return Index(postings, table(spark, d, "summaries"), table(spark, d, "overrides"), objects, RULES, multi_index)
 
 
 def engine_of(spark: SparkSession, d: str, multi_index: str = "last") -> Engine:
@@ -99,6 +105,13 @@ m AS (SELECT doc, {_HIGHEST} AS score FROM (SELECT doc, score FROM v UNION ALL S
 s AS (SELECT DISTINCT doc FROM Q WHERE keyword IN ('status:open', 'status:pinned')), w AS {_nth('words', '-score')}
 SELECT m.doc, CASE WHEN w.doc IS NULL THEN CAST('-inf' AS FLOAT) ELSE w.score END AS score FROM m SEMI JOIN s ON m.doc = s.doc ANTI JOIN {_of('lang:de')} d ON m.doc = d.doc LEFT JOIN w ON m.doc = w.doc AND w.k = 1""")
 
+
+@query("SELECT doc, coalesce(score, CAST('NaN' AS FLOAT)) AS score FROM postings WHERE keyword = 'event:vote' AND doc IS NOT NULL AND table_seq = 1")
+def leaf_lookup_delta(spark: SparkSession, d: str) -> DataFrame:
+    """A keyword of both tables, the delta last."""
+    return Engine(Index(table(spark, d, "postings"))).evaluate("event:vote").df.select("doc", "score")
+
+
 for _pick in ("max", "min"):
     QUERIES[f"dedupe_{_pick}"] = lambda spark, d, p=_pick: _dedupe(spark, d, p)
     SQL[f"dedupe_{_pick}"] = f"WITH {BASE} SELECT doc, score FROM {folded(expression('price', True), _pick)}"

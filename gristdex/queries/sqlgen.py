@@ -9,8 +9,8 @@ from __future__ import annotations
 from gristdex.plans.nodes import Binary, Compare, DocKey, Expr, InRange, Leaf, Sample, Unary
 from gristdex.plans.parser import parse_expression
 
-#: Common table expressions: postings P, of these Q in the last table of their keyword, and first summary rows F.
-BASE = """P AS (SELECT table_seq, keyword, doc, CAST(seq AS BIGINT) AS seq, coalesce(score, CAST('NaN' AS FLOAT)) AS score FROM postings WHERE keyword IS NOT NULL AND doc IS NOT NULL),
+#: Common table expressions: postings P (the delta is table 0, the main table 1), of these Q in the last table of their keyword, and first summary rows F.
+BASE = """P AS (SELECT 1 - table_seq AS table_seq, keyword, doc, CAST(seq AS BIGINT) AS seq, coalesce(score, CAST('NaN' AS FLOAT)) AS score FROM postings WHERE keyword IS NOT NULL AND doc IS NOT NULL),
 Q AS (SELECT * FROM P QUALIFY table_seq = max(table_seq) OVER (PARTITION BY keyword)),
 F AS (SELECT doc, key, json FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY table_seq, key NULLS FIRST, json NULLS FIRST) AS rn FROM summaries WHERE doc IS NOT NULL) WHERE rn = 1)"""
 
