@@ -34,6 +34,8 @@ _INVISIBLE = regex.compile(r"\p{Cf}+")
 _MARKS = re.compile("[̀-ͯ]+")
 _SPELLED = re.compile(r"\b[^\W_]([-_.*~·])[^\W_](?:\1[^\W_]){2,}(?!\w)|\b[^\W\d_](?: [^\W\d_]){3,}(?!\w)")
 _JOINERS = re.compile(r"[-_.*~· ]")
+_JOINING = np.isin(np.arange(256), [ord(c) for c in "-_.*~· "])
+_JOINING[255] = False
 _REPEAT = re.compile(r"(.)\1+")
 _LATIN, _ALIEN = re.compile("[a-z]"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 # Scripts written without blanks.
@@ -55,23 +57,54 @@ _CLASSES = {
 }
 
 
+#: Code points from here on are ideographs, so far as words go.
+_REST = 0x20000
+
+
 @cache
 def _classes() -> np.ndarray:
-    """The classes of every code point, as bits."""
-    every = "".join(map(chr, range(0x110000)))
-    table = np.zeros(0x110000, np.uint8)
+    """The classes of the code points below ``_REST``, as bits, and one entry for all others."""
+    every = "".join(map(chr, range(_REST)))
+    table = np.zeros(_REST + 1, np.uint8)
     for bit, pattern in _CLASSES.items():
         for m in re.finditer(pattern, every):
             table[m.start() : m.end()] |= bit
+    table[_REST] = ALNUM | INNER | TAIL
     return table
 
 
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    return _classes()[np.minimum(codes, _REST)]
+
+
+def _spelled(text: str, codes: np.ndarray, kind: np.ndarray) -> str:
+    """Text with words spelled letter by letter (``s_c_u_m``, ``s c u m``) written as one.
+
+    Where a letter or digit stands alone between equal signs three times is seen
+    in the array; the pattern then only looks there.
+    """
+    if len(codes) < 7:
+        return text
+    n = len(codes) - 6
+    sign = codes[1 : n + 1]
+    at = (sign == codes[3 : n + 3]) & (sign == codes[5 : n + 5])
+    for i in (0, 2, 4, 6):
+        at &= (kind[i : n + i] & ALNUM) != 0
+    starts = np.flatnonzero(at & _JOINING[np.minimum(sign, len(_JOINING) - 1)]).tolist()
+    pieces, done = [], 0
+    for i in starts:
+        if i >= done and (m := _SPELLED.match(text, i)):
+            pieces += [text[done:i], _JOINERS.sub("", m[0])]
+            done = m.end()
+    return "".join([*pieces, text[done:]]) if pieces else text
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def joined(texts: list[str | None]) -> tuple[str, np.ndarray]:
-    """The plain forms of all texts in one string, and the text that each of its pieces belongs to.
+def joined(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The plain forms of all texts in one string, the text that each of its pieces belongs to, and its code points with their classes.
 
     Plain is lower case without tags, invisible characters, accents and letters
     spelled one by one.  A tag is cut out, so a word it stood in is whole again;
@@ -104,7 +137,14 @@ def joined(texts: list[str | None]) -> tuple[str, np.ndarray]:
     if not whole.isascii():
         whole = unicodedata.normalize("NFKD", _INVISIBLE.sub("", whole))
         whole = unicodedata.normalize("NFKC", _MARKS.sub("", whole))
-    return _SPELLED.sub(lambda m: _JOINERS.sub("", m[0]), whole.lower()), owner
+    whole = whole.lower()
+    codes = _codes(whole)
+    kind = _kinds(codes)
+    spelled = _spelled(whole, codes, kind)
+    if len(spelled) < len(whole):
+        codes = _codes(spelled)
+        kind = _kinds(codes)
+    return spelled, owner, codes, kind
 
 
 def plain(text: str) -> str:
@@ -207,9 +247,7 @@ class TermHasher:
 
     def batch(self, texts: list[str | None]) -> Sentences:
         """The sentences of a batch of texts with their distinct words; none for null, empty and blank texts."""
-        text, owner = joined(texts)
-        codes = _codes(text)
-        kind = _classes()[codes]
+        text, owner, codes, kind = joined(texts)
         state = ((kind & INNER) != 0).astype(np.int8) + ((kind & UNSPACED) != 0)
         edges = np.flatnonzero(np.diff(state, prepend=0, append=0))
         run = np.flatnonzero(state[edges[:-1]]) if len(edges) else edges
