@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristdex.model import Index
 from gristdex.operators.evaluate import Evaluator
 from gristdex.plans.nodes import CorrelateStatement, primary_keyword
+from gristdex.session import written
 
 #: Posterior odds a range must reach in either direction, and the gain a split must bring.
 CUT_OFF, LEAST_GAIN = math.log(0.55 / 0.45), math.log(1.05)
@@ -26,7 +27,7 @@ def labels_of(index: Index, statement: CorrelateStatement) -> DataFrame:
 
 
 def correlate(index: Index, statement: CorrelateStatement, now: float | None = None) -> DataFrame:
-    """Mines the discriminating ranges, lazily.
+    """Mines the discriminating ranges.
 
     Columns: ``keyword``, ``low`` and ``high`` (null where open), ``log_odds``,
     ``n_a``, ``n_b``, ``days_before`` (scores are days before the event of A).
@@ -42,30 +43,34 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
     dropped) days before ``now``.  NaN scores count nowhere but for that test.  An
     empty A or B gives no row.
 
-    Plan: labels are joined to the postings (the adaptive engine broadcasts them if
-    their measured size allows); counts by (keyword, score) are combined map-side
-    and running sums go by stretches of scores, see :func:`running_counts`; one
-    row a keyword and document then counts for both ranges.
+    Plan: labels, then the postings of labelled documents, are each written once
+    to the shared folder when the statement is compiled, as several branches read
+    them.  Counts by (keyword, score) are combined map-side and running sums go by
+    stretches of scores, see :func:`running_counts`; one row a keyword and document
+    then counts for both ranges.
     """
-    labels = labels_of(index, statement)
-    postings = index.rows().select("table_seq", "keyword", "doc", "seq", "score")
+    labels = written(labels_of(index, statement))
+    postings = index.rows().select(*KEY, "doc", "seq", "score")
     stamped = index.rules.is_timestamped(primary_keyword(statement.a))
-    plain, timed = postings, None
+    is_timed = index.rules.timestamped_column(F.col("keyword"))
+    kept = postings.where(~index.rules.ephemeral_column(F.col("keyword"))) if stamped else postings
+    lists, held = _lists(kept), written(kept.join(labels, "doc"))
+    matched = held
     if stamped:
-        is_timed = index.rules.timestamped_column(F.col("keyword"))
-        kept = postings.where(~index.rules.ephemeral_column(F.col("keyword")))
-        plain, timed = kept.where(~is_timed), kept.where(is_timed)
-    lists = _lists(plain)
-    matched = plain.join(labels.select("doc", "cls"), "doc").select(*KEY, "doc", "score", "cls")
-    if timed is not None:
-        aged = _by_event(timed, labels, index.rules.is_timestamped(primary_keyword(statement.b)), now)
-        lists = lists.unionByName(_lists(timed).drop("cont").join(_lists(aged).drop("n_list"), KEY))
-        matched = matched.unionByName(aged.where("cls IS NOT NULL"))
+        both = index.rules.is_timestamped(primary_keyword(statement.b))
+        today = (F.lit(float(now)) if now is not None else F.expr("unix_micros(current_timestamp()) / 86400000000D")).cast("float")
+        aged = _by_event(held.where(is_timed), both, today)
+        matched = held.where(~is_timed).select(*aged.columns).unionByName(aged)
+        ages = aged.select(*KEY, "score")
+        if not both:
+            outside = kept.where(is_timed).join(labels.select("doc"), "doc", "left_anti")
+            ages = ages.unionByName(outside.select(*KEY, (today - F.col("score")).cast("float").alias("score")))
+        lists = lists.where(~is_timed).unionByName(lists.where(is_timed).drop("cont").join(_lists(ages).drop("n_list"), KEY))
     lists = lists.withColumn("bound", bounds(labels)).select(*KEY, "n_list", "cont", "bound.*")
     lists = lists.where((F.col("n_list") >= F.col("limit_a")) | (F.col("n_list") >= F.col("limit_b")))
     matched = matched.where(~F.isnan("score"))
     ranges = split_ranges(matched, lists)
-    return score_ranges(matched, ranges).withColumn("days_before", F.lit(stamped) & index.rules.timestamped_column(F.col("keyword")))
+    return score_ranges(matched, ranges).withColumn("days_before", F.lit(stamped) & is_timed)
 
 
 def bounds(labels: DataFrame) -> Column:
@@ -81,20 +86,18 @@ def _lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_list"), F.max(F.isnan("score") | (F.col("score") != 0)).alias("cont"))
 
 
-def _by_event(timed: DataFrame, labels: DataFrame, both: bool, now: float | None) -> DataFrame:
-    """(key, doc, score, cls) of timestamped keywords, scores turned into days before the event of their document.
+def _by_event(held: DataFrame, both: bool, today: Column) -> DataFrame:
+    """(key, doc, score, cls) of timestamped postings of labelled documents, scores turned into days before the event of their document.
 
     Of a document with an event, the first posting counts if it lies before.
     """
-    events = labels if both else labels.where("cls = 1")
-    firsts = timed.groupBy(*KEY, "doc").agg(F.min(F.struct("seq", "score")).alias("first"))
-    held = firsts.select(*KEY, "doc", F.col("first.score").alias("score")).where(~F.isnan("score")).join(events, "doc").where(~F.isnan("event") & (F.col("score") < F.col("event")))
-    held = held.select(*KEY, "doc", (F.col("event") - F.col("score")).cast("float").alias("score"), "cls")
+    dated = held if both else held.where("cls = 1")
+    firsts = dated.groupBy(*KEY, "doc").agg(F.min(F.struct("seq", "score")).alias("first"), F.max("event").alias("event"), F.max("cls").alias("cls"))
+    before = firsts.select(*KEY, "doc", F.col("first.score").alias("score"), "event", "cls").where(~F.isnan("score") & ~F.isnan("event") & (F.col("score") < F.col("event")))
+    out = before.select(*KEY, "doc", (F.col("event") - F.col("score")).cast("float").alias("score"), "cls")
     if both:
-        return held
-    today = F.lit(float(now)) if now is not None else F.expr("unix_micros(current_timestamp()) / 86400000000D")
-    others = timed.join(labels.select("doc", "cls"), "doc", "left").where("cls IS NULL OR cls = -1")
-    return held.unionByName(others.select(*KEY, "doc", (today.cast("float") - F.col("score")).cast("float").alias("score"), "cls"))
+        return out
+    return out.unionByName(held.where("cls = -1").select(*KEY, "doc", (today - F.col("score")).cast("float").alias("score"), "cls"))
 
 
 def stretch(score: Column) -> Column:
