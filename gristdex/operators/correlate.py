@@ -43,9 +43,9 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
     dropped) days before ``now``.  NaN scores count nowhere but for that test.  An
     empty A or B gives no row.
 
-    Plan: labels, then the postings of labelled documents, are each written once
-    to the shared folder when the statement is compiled, as several branches read
-    them.  Counts by (keyword, score) are combined map-side and running sums go by
+    Plan: labels, the postings of labelled documents, and those of them that count
+    as days before, are each written once to the shared folder when the statement
+    is compiled, as several branches read them.  Counts by (keyword, score) are combined map-side and running sums go by
     stretches of scores, see :func:`running_counts`; one row a keyword and document
     then counts for both ranges.
     """
@@ -59,7 +59,7 @@ def correlate(index: Index, statement: CorrelateStatement, now: float | None = N
     if stamped:
         both = index.rules.is_timestamped(primary_keyword(statement.b))
         today = (F.lit(float(now)) if now is not None else F.expr("unix_micros(current_timestamp()) / 86400000000D")).cast("float")
-        aged = _by_event(held.where(is_timed), both, today)
+        aged = written(_by_event(held.where(is_timed), both, today))
         matched = held.where(~is_timed).select(*aged.columns).unionByName(aged)
         ages = aged.select(*KEY, "score")
         if not both:
