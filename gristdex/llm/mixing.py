@@ -58,7 +58,7 @@ class Mix:
         self.ranges = self.rows.groupBy("source", "range").agg(F.sum("tokens").alias("tokens"))
 
     def plan(self) -> DataFrame:
-        """One row a target source: weight, max_repeats, size, whole, budget, epochs, rest."""
+        """One row a target source: weight, max_repeats, size, whole, budget, epochs, rest, and by their numbers ``capped``."""
         sizes = self.ranges.groupBy("source").agg(F.sum("tokens").alias("size"))
         sized = self.targets.join(sizes, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
         # As many rows as targets, whatever the corpus: one window holds them.
@@ -66,7 +66,8 @@ class Mix:
         budget = F.sum("size").over(all_of) * F.col("weight") / F.sum("weight").over(all_of)
         full = F.when(F.col("size") > 0, F.least(F.floor(F.col("budget") / F.col("size")), F.col("max_repeats"))).otherwise(F.col("max_repeats")).cast("bigint")
         rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("size")).otherwise(F.lit(0.0))
-        return sized.withColumn("whole", F.sum("size").over(all_of)).withColumn("budget", budget).withColumn("epochs", full).withColumn("rest", rest)
+        out = sized.withColumn("whole", F.sum("size").over(all_of)).withColumn("budget", budget).withColumn("epochs", full).withColumn("rest", rest)
+        return out.withColumn("capped", F.col("size") * F.col("max_repeats") < F.col("budget"))
 
     def placed(self) -> DataFrame:
         """(doc_id, source, tokens, repeats, unused) of every record of the target sources, ``repeats`` at least 0 and ``unused`` how many more it might come."""
@@ -87,7 +88,7 @@ class Mix:
     def report(self) -> DataFrame:
         """The plan with ``actual_tokens``, ``records``, ``target_share``, ``actual_share`` and ``capped`` of each source.
 
-        ``capped`` is read off the mix: no record might come more often, and yet
+        ``capped`` is read off the mix here: no record might come more often, and yet
         the tokens stay below the budget.
         """
         used = F.sum(F.col("tokens") * F.col("repeats")).alias("actual_tokens")
