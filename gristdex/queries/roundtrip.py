@@ -50,10 +50,10 @@ def _value() -> Column:
     return F.when(_whole(), F.concat_ws(" ", number, *(F.col(c).cast("string") for c in PERCENTILES))).otherwise(number)
 
 
-def _lines(spark: SparkSession, rows: DataFrame, *fields: Column, delimiter: str = "\t") -> str:
+def _lines(spark: SparkSession, rows: DataFrame, *fields: Column, delimiter: str = "\t", line_end: str | None = None) -> str:
     """Writes a text file of delimited fields and returns its path."""
     path = fresh_path(spark)
-    rows.select(F.concat_ws(delimiter, *fields).alias("value")).write.text(path)
+    rows.select(F.concat_ws(delimiter, *fields).alias("value")).write.text(path, lineSep=line_end)
     return path
 
 
@@ -83,9 +83,11 @@ def load_series_text(spark: SparkSession, d: str) -> DataFrame:
 def load_series_seconds(spark: SparkSession, d: str) -> DataFrame:
     """The same with seconds, another delimiter and no escapes."""
     rows = table(spark, d, "time_series").where("key IS NOT NULL AND NOT contains(key, ';') AND score IS NOT NULL AND ts IS NOT NULL")
-    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("string")
-    path = _lines(spark, rows, F.col("key"), seconds, F.col("score").cast("string"), delimiter=";")
-    return load.load_time_series(spark, path, "%s", ";", unescape=False).select("key", F.unix_micros("ts").alias("at"), "score")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    # Keys may hold line breaks but no semicolon, so a line ends with both.
+    end = ";\n"
+    path = _lines(spark, rows, F.col("key"), seconds, F.col("score").cast("string"), delimiter=";", line_end=end)
+    return load.load_time_series(spark, path, "%s", ";", unescape=False, line_end=end).select("key", F.unix_micros("ts").alias("at"), "score")
 
 
 @query("""WITH K AS (SELECT key, coalesce(min(json), '') AS json FROM summaries WHERE key IS NOT NULL GROUP BY key)

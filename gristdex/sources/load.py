@@ -14,16 +14,17 @@ from gristdex.session import placed
 DATE_FORMAT = "%Y-%m-%d %H:%M:%S"
 
 
-def read_delimited(spark: SparkSession, path: str, columns: tuple[str, ...], delimiter: str = "\t", unescape: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, columns: tuple[str, ...], delimiter: str = "\t", unescape: bool = True, line_end: str | None = None) -> DataFrame:
     """Lines of a text file split at a one-character delimiter; the last column takes the rest of the line.
 
     ``\\t \\r \\n \\\\`` are unescaped in each field unless told otherwise.  Missing
-    fields are null, blank lines are skipped.
+    fields are null, blank lines are skipped.  Lines end at any line break, or at
+    ``line_end`` only.
     """
     if len(delimiter) != 1:
         raise ValueError("the delimiter is one character")
     parts = F.split("value", re.escape(delimiter), len(columns))
-    lines = spark.read.text(path).where(F.length("value") > 0).select(parts.alias("p"))
+    lines = spark.read.text(path, lineSep=line_end).where(F.length("value") > 0).select(parts.alias("p"))
     fields = [F.get("p", F.lit(i)) for i in range(len(columns))]
     return lines.select(*((unescape_tsv_column(f) if unescape else f).alias(c) for c, f in zip(columns, fields)))
 
@@ -132,9 +133,9 @@ def load_index(spark: SparkSession, path: str, summaries: DataFrame, delimiter:
     return to_postings(resolve_documents(parse_scores(raw), summaries), table_seq)
 
 
-def load_time_series(spark: SparkSession, path: str, date_format: str = DATE_FORMAT, delimiter: str = "\t", unescape: bool = True) -> DataFrame:
+def load_time_series(spark: SparkSession, path: str, date_format: str = DATE_FORMAT, delimiter: str = "\t", unescape: bool = True, line_end: str | None = None) -> DataFrame:
     """Time series from ``key, date, score [percentiles]`` lines."""
-    raw = read_delimited(spark, path, ("key", "at", "value"), delimiter, unescape)
+    raw = read_delimited(spark, path, ("key", "at", "value"), delimiter, unescape, line_end)
     return parse_dates(parse_scores(raw), "at", date_format).select("key", "ts", "score", *PERCENTILES)
 
 
